@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks.tables import FIRST_YEAR, TIES, gas_raw
 from litrewise.functions import department
 from litrewise.operators import history, indices, metrics, prepare, reports, splits
-from litrewise.placement import shared_folder
+from litrewise.placement import settle, shared_folder
 from litrewise.plans import forecasting, indexed
 from litrewise.sources import (
     RAW_SCHEMA,
@@ -96,6 +96,12 @@ def feature_columns(df: DataFrame, which: forecasting.FeatureSet) -> DataFrame:
     return df.select(*KEYS, "prix", "price_index", "week_index", *which.columns)
 
 
+def model_rows(spark: SparkSession, sf_dir: str, which: forecasting.FeatureSet) -> DataFrame:
+    """The feature table as a written stage: split, fit and prediction all read it."""
+    rows = features(spark, sf_dir, which)
+    return settle(rows.select(*KEYS, "cp", "prix", *which.columns))
+
+
 # Sources and sinks
 
 
@@ -142,10 +148,9 @@ def sql_year_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forecast_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
-    rows = features(spark, sf_dir, forecasting.FEATURES_C)
-    train, test = splits.split_by_date(rows, CUT)
-    columns = forecasting.FEATURES_C.columns
-    model = forecasting.fit(train, forecasting.linear_regression(), columns)
+    which = forecasting.FEATURES_C
+    train, test = splits.split_by_date(model_rows(spark, sf_dir, which), CUT)
+    model = forecasting.fit(train, forecasting.linear_regression(), which.columns)
     forecasting.export_forecast(forecasting.predict(model, test), path)
     return read_stage(spark, path)
 
@@ -367,7 +372,7 @@ def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, test = splits.split_by_quantile(past(spark, sf_dir, (1, 7), 7), 0.8)
+    _, test = splits.split_by_quantile(settle(past(spark, sf_dir, (1, 7), 7)), 0.8)
     return test
 
 
@@ -414,7 +419,7 @@ def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_lr_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = past(spark, sf_dir, (1, 7), 7)
+    rows = settle(past(spark, sf_dir, (1, 7), 7))
     train, test = splits.split_by_date(rows, CUT)
     model = forecasting.fit(train, forecasting.linear_regression(), ["price_lag_1"])
     predicted = forecasting.predict(model, test)
@@ -424,7 +429,7 @@ def model_lr_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = forecasting.FEATURES_A
-    train, test = splits.split_by_quantile(features(spark, sf_dir, which), 0.8)
+    train, test = splits.split_by_quantile(model_rows(spark, sf_dir, which), 0.8)
     model = forecasting.fit(train, forecasting.linear_regression(), which.columns)
     return forecasting.predict(model, test).select(*KEYS, "prix", "prediction")
 
@@ -432,7 +437,7 @@ def model_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = forecasting.FEATURES_C
-    train, test = splits.split_by_date(features(spark, sf_dir, which), CUT)
+    train, test = splits.split_by_date(model_rows(spark, sf_dir, which), CUT)
     model = forecasting.fit(train, forecasting.random_forest(trees=50), which.columns)
     return forecasting.predict(model, test).select(*KEYS, "prix", "prediction")
 
@@ -440,7 +445,7 @@ def model_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = forecasting.FEATURES_B
-    train, test = splits.split_by_date(features(spark, sf_dir, which), CUT)
+    train, test = splits.split_by_date(model_rows(spark, sf_dir, which), CUT)
     model = forecasting.fit(train, forecasting.boosted_trees(), which.columns)
     return forecasting.predict(model, test).select(*KEYS, "prix", "prediction")
 
@@ -449,6 +454,6 @@ def model_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = forecasting.FEATURES_A
     fuel = prepare.filter_fuel(with_index(spark, sf_dir), FUEL)
-    rows = forecasting.feature_table(fuel, which, order=ORDER)
+    rows = settle(forecasting.feature_table(fuel, which, order=ORDER))
     train, test = splits.split_by_date(rows, CUT)
     return forecasting.compare_models(train, test, forecasting.default_models(), which.columns)

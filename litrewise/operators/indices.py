@@ -26,7 +26,7 @@ def attach_per_day(
     *,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join a settled frame with one row per day and fuel to the observations.
+    """Join a settled table with one row per day and fuel to the observations.
 
     The daily side is broadcast when its measured size allows; the observations are
     then not shuffled at all. Otherwise both sides are shuffled with a salt, so that the

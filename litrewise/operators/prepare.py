@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litrewise.functions import degrees, observed_at
+from litrewise.placement import settle
 
 # A ranking longer than this is joined without a broadcast hint.
 MAX_BROADCAST_NAMES = 10_000
@@ -23,8 +24,9 @@ def clean_prices(raw: DataFrame) -> DataFrame:
         moment = observed_at(moment)
     day = F.col("day_date")
     return (
-        raw.withColumn("date_parsed", moment.cast("timestamp"))
-        .filter(F.col("date_parsed").isNotNull())
+        raw.filter(moment.isNotNull())
+        # The filter has tested the spelling; a plain cast does not test it again.
+        .withColumn("date_parsed", F.col("date").try_cast("timestamp"))
         .withColumn("day_date", F.to_date("date_parsed"))
         .withColumns(
             {
@@ -58,7 +60,9 @@ def without_fuels(df: DataFrame, fuels: DataFrame, n: int) -> DataFrame:
 
 
 def drop_rare_fuels(df: DataFrame, n: int = 2) -> DataFrame:
-    return without_fuels(df, rarest_fuels(df, n), n)
+    """Drop the `n` rarest fuels. They are ranked once, here, and not again by every job
+    that later reads the result."""
+    return without_fuels(df, settle(rarest_fuels(df, n)), n)
 
 
 def filter_fuel(df: DataFrame, name: str) -> DataFrame:

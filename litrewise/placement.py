@@ -31,6 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a scan that has fewer tasks than there are cores.
+
+    That happens with a few unsplittable files; a large scan is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder once and return a frame that reads it back.
 

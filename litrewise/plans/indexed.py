@@ -61,6 +61,6 @@ def indexed_observations(
     twice and, while the daily table is small enough to broadcast, never shuffled.
     """
     prepared = clean_prices(raw)
-    averages = settle(kept_daily_averages(settle(daily_statistics(prepared)), drop_n))
+    averages = kept_daily_averages(settle(daily_statistics(prepared)), drop_n)
     joined = attach_per_day(prepared, averages, "inner", max_broadcast_bytes=max_broadcast_bytes)
     return add_week_index(add_price_index(joined, digits=digits), first_year, iso=iso)
