@@ -40,3 +40,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litrewise.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.language import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.quality import classify_documents
+
+    return classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.token_counts import count_documents
+
+    return count_documents(table(spark, sf_dir, "documents"))
