@@ -61,3 +61,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litrewise.llm.token_counts import count_documents
 
     return count_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.pieces import encode_and_check
+
+    return encode_and_check(table(spark, sf_dir, "documents"))
