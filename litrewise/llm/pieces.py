@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litrewise.llm.common import small_batches
 
@@ -342,9 +343,10 @@ def encode_documents(documents: DataFrame, model: str = MODEL, key: str = "doc_i
                 [*batch.columns, *columns], names=[*batch.schema.names, *added]
             )
 
-    schema = documents.schema.add("piece_ids", "array<int>").add("n_pieces", "long")
+    schema = T.StructType(list(documents.schema.fields))
+    schema = schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", T.LongType())
     if check:
-        schema = schema.add("lossless", "boolean")
+        schema = schema.add("lossless", T.BooleanType())
     return documents.mapInArrow(encode, schema)
 
 
@@ -362,7 +364,8 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, column: str = "deco
                     [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, column]
                 )
 
-    return encoded.mapInArrow(read, encoded.schema.add(column, "string"))
+    schema = T.StructType([*encoded.schema.fields, T.StructField(column, T.StringType())])
+    return encoded.mapInArrow(read, schema)
 
 
 def encode_and_check(documents: DataFrame, model: str = MODEL) -> DataFrame:
