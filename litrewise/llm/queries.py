@@ -68,3 +68,10 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litrewise.llm.pieces import encode_and_check
 
     return encode_and_check(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.repeats import dedup_digests
+
+    return dedup_digests(table(spark, sf_dir, "documents"))
