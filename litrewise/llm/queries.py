@@ -75,3 +75,10 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litrewise.llm.repeats import dedup_digests
 
     return dedup_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.forest import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"))
