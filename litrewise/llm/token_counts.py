@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from litrewise.llm.common import small_batches
 from litrewise.placement import settle
 
-BLOCK_TOKENS = 1 << 16
-STRETCH_BITS = 10
+BLOCK_TOKENS = 1 << 14
+STRETCH_BITS = 12
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEPARATOR = 50256
 TOKEN = np.dtype("<u2")
@@ -57,7 +57,7 @@ def write_flat(documents: DataFrame, vocabulary: str = VOCABULARY, block_tokens:
         file = TaskContext.get().partitionId()
         waiting: list[np.ndarray] = []
         held, blocks, documents_seen = 0, 0, 0
-        for batch in small_batches(batches, "text", 8 << 20):
+        for batch in small_batches(batches, "text", 4 << 20):
             kinds, seqs, ids, data = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = np.array([*encoding.encode_ordinary(text or ""), SEPARATOR], dtype=TOKEN)
