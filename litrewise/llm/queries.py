@@ -82,3 +82,10 @@ def op4_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litrewise.llm.forest import join_documents
 
     return join_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.permutation import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
