@@ -330,9 +330,14 @@ def keep_one(documents: DataFrame) -> DataFrame:
     joined = join_documents(documents)
     goes = F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id"))
     dropped = joined.filter("n_links > 0").filter(goes).select(_id().alias("_id"), F.col("tie").alias("_tie"))
-    keyed = documents.withColumns({"_id": _id(), "_tie": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
+    keyed = documents.select(
+        F.struct(*documents.columns).alias("_row"),
+        _id().alias("_id"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_tie"),
+        (F.coalesce(F.char_length("text"), F.lit(0)) == 0).alias("_empty"),
+    )
     kept = keyed.join(dropped.distinct(), ["_id", "_tie"], "left_anti")
     # Repeated rows of a naming document are copies as well.
     turn = F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_id"))
-    first = kept.withColumn("_turn", turn).filter("_turn = 1 or coalesce(text, '') = ''")
-    return first.select(*documents.columns)
+    first = kept.withColumn("_turn", turn).filter(F.col("_empty") | (F.col("_turn") == 1))
+    return first.select("_row.*")
