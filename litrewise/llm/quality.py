@@ -100,7 +100,9 @@ class Model:
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         cosines = self.vectors_of(rows) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
+        # No more neighbours than the rarer label has rows, or it could never win.
+        rarer = min(n for n in (self.labels.sum(), (1 - self.labels).sum()) if n)
+        k = int(min(NEIGHBOURS, rarer))
         nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         weights = np.maximum(np.take_along_axis(cosines, nearest, axis=1), 1e-6).astype(np.float64)
         return (weights * self.labels[nearest]).sum(axis=1) / weights.sum(axis=1)
