@@ -5,7 +5,8 @@ Equal strings of `LENGTH` bytes are found in four steps.
 1. Routing. Each window of LENGTH bytes is named by the smallest hash of its ROUTE_BYTES-byte
    strings. Equal windows have equal names, and neighbouring windows mostly share theirs, so a
    text becomes a few runs of windows. Names that occur once are dropped before any text moves.
-2. The text of the remaining runs goes to the task that owns the name. Equal runs are merged
+2. Texts that are equal as a whole are found by their digests; all but the first go whole. The
+   text of the remaining runs goes to the task that owns the name. Equal runs are merged
    on both sides of the shuffle: later ones are repeats as a whole.
 3. Indexing. A task joins its different runs into one text, builds the suffix array and the
    Burrows-Wheeler transform, and expands intervals breadth-first by backward extension:
@@ -127,7 +128,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
-        F.crc32(text.cast("binary")).alias("tie"),
+        F.xxhash64(text).alias("tie"),
         text.alias("text"),
         F.struct(*[F.col(c) for c in others]).alias("row"),
     )
@@ -141,6 +142,25 @@ def _batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
 _RUNS = pa.schema([("route", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("packed", pa.int64())])
 
 
+def whole_copies(keyed: DataFrame, length: int) -> DataFrame:
+    """doc, tie and size of every text that a smaller document has as well: all of it goes, and
+    its runs need not be looked for. Texts shorter than LENGTH are left alone."""
+    text = F.col("text").cast("binary")
+    narrow = settle(keyed.select("doc", "tie", F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha")))
+    narrow = narrow.filter(F.col("size") >= length)
+    first = narrow.groupBy("sha").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+    later = narrow.join(first.filter("n > 1"), "sha").filter("doc > first")
+    return settle(later.select("doc", "tie", "size").distinct())
+
+
+def first_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Without the texts that a smaller document of the batch has as well."""
+    order = np.lexsort((batch.column("doc").to_numpy(), batch.column("tie").to_numpy()))
+    ties = batch.column("tie").to_numpy()[order]
+    first = np.concatenate([[True], ties[1:] != ties[:-1]])
+    return batch.take(pa.array(np.sort(order[first])))
+
+
 def window_runs(keyed: DataFrame, length: int) -> DataFrame:
     """All runs of all documents. Of a name that a batch has often, one row goes to the name's
     task; the others are known to be repeated and go anywhere, so that no name is hot."""
@@ -148,6 +168,7 @@ def window_runs(keyed: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = Router(length)
         for batch in small_batches(batches, "text", BATCH_BYTES):
+            batch = first_copies(batch)
             found = [router.runs(t.encode()) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(f[0]) for f in found])
             if not sizes.sum():
@@ -171,36 +192,41 @@ def window_runs(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_runs(runs: DataFrame) -> DataFrame:
-    """The runs whose name occurs more than once; rows stream through in the order of names,
-    and each looks at its neighbours only."""
+    """The runs whose name occurs more than once in different texts; rows stream through in the
+    order of names, and each looks at its neighbours only. Of equal texts the smallest
+    document's run stays."""
     schema = pa.schema(list(_RUNS)[1:])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, whose neighbour is still to come
-        before: int | None = None
+        held: list[np.ndarray] | None = None  # the last row, whose neighbour is still to come
+        before: int | None = None  # the name of the row before it
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-            names = rows.column("name").to_numpy()
-            same = names[1:] == names[:-1]
-            ok = (rows.column("packed").to_numpy() & 3) > 0
-            ok[1:] |= same
-            ok[:-1] |= same
-            ok[0] |= before is not None and before == names[0]
-            yield rows.slice(0, len(ok) - 1).filter(pa.array(ok[:-1]))
-            held = rows.slice(len(ok) - 1)
-            before = int(names[-2]) if len(names) > 1 else before
-        if held is not None:
-            name, packed = held.column("name")[0].as_py(), held.column("packed")[0].as_py()
-            if name == before or packed & 3:
-                yield held
-
-    dealt = runs.repartition("route").select("name", "doc", "tie", "packed").sortWithinPartitions("name")
-    return dealt.mapInArrow(keep, "name long, doc long, tie long, packed long")
-
-
-_BLOBS = "doc long, tie long, blob binary"
+            rows = [batch.column(c).to_numpy() for c in schema.names]
+            if held is not None:
+                rows = [np.concatenate(pair) for pair in zip(held, rows)]
+            name, doc, tie, packed = rows
+            same = (name[1:] == name[:-1]) & (tie[1:] == tie[:-1]) & (packed[1:] >> 16 == packed[:-1] >> 16)
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            # What is known of a dropped copy holds for the row that stays.
+            packed = packed[starts] | np.bitwise_or.reduceat(packed & 3, starts)
+            name, doc, tie = name[starts], doc[starts], tie[starts]
+            alike = name[1:] == name[:-1]
+            ok = (packed & 3) > 0
+            ok[1:] |= alike
+            ok[:-1] |= alike
+            ok[0] |= before is not None and before == name[0]
+            out = ok[:-1]
+            yield _batch(schema, *[c[:-1][out] for c in (name, doc, tie, packed)])
+            held = [c[-1:] for c in (name, doc, tie, packed)]
+            before = int(name[-2]) if len(name) > 1 else before
+        if held is not None and (int(held[0][0]) == before or held[3][0] & 3):
+            yield _batch(schema, *held)
+
+    dealt = runs.repartition("route").select("name", "doc", "tie", "packed")
+    ordered = dealt.sortWithinPartitions("name", "tie", F.shiftright("packed", 16), "doc")
+    return ordered.mapInArrow(keep, "name long, doc long, tie long, packed long")
 
 
 def compressed(keyed: DataFrame, carry: bool) -> DataFrame:
@@ -224,9 +250,12 @@ def compressed(keyed: DataFrame, carry: bool) -> DataFrame:
     return keyed.select(*columns).mapInArrow(squeeze, schema)
 
 
-def beside_texts(texts: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Texts and narrow rows of the same document in one task, the text first."""
-    both = texts.withColumn("kind", F.lit(0)).unionByName(narrow.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+def beside_texts(texts: DataFrame, *narrow: DataFrame) -> DataFrame:
+    """Texts and narrow rows of the same document in one task: the text first (kind 0), then
+    the rows of each narrow table (kind 1, 2, ...)."""
+    both = texts.withColumn("kind", F.lit(0))
+    for kind, rows in enumerate(narrow, 1):
+        both = both.unionByName(rows.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
     return both.repartition("doc", "tie").sortWithinPartitions("doc", "tie", "kind")
 
 
@@ -237,12 +266,12 @@ def _text(group: pa.Table) -> bytes:
 
 
 _ASKS = pa.schema(
-    [("route", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("count", pa.int64()), ("inner", pa.bool_()), ("run", pa.binary())]
+    [("route", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("packed", pa.int64()), ("run", pa.binary())]
 )
 ASK_ROWS = 20_000
 
 
-def run_texts(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+def run_texts(texts: DataFrame, runs: DataFrame, copies: DataFrame, length: int) -> DataFrame:
     """The bytes of each repeated run. A run that this task has already sent is a repeat as a
     whole: it goes on without bytes, to be spread over the tasks."""
 
@@ -252,21 +281,21 @@ def run_texts(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         for group in sorted_groups(batches, ["doc", "tie"]):
             kinds = group.column("kind").to_numpy()
             first = int(np.searchsorted(kinds, 1))
-            if first == 0 or first == len(kinds):
+            if first == 0 or first == len(kinds) or kinds[-1] == 2:
                 continue
             text = _text(group)
             doc, tie = group.column("doc")[0].as_py(), group.column("tie")[0].as_py()
             packed, at = np.unique(group.column("packed").to_numpy()[first:].astype(np.int64) & ~np.int64(2), return_index=True)
             names = group.column("name").to_numpy()[first:][at].astype(np.int64)
             for name, p in zip(names.tolist(), packed.tolist()):
-                start, count, inner = p >> 16, ((p >> 4) & 0xFFF) + 1, bool(p & 1)
+                start, count = p >> 16, ((p >> 4) & 0xFFF) + 1
                 run = text[start : start + count + length - 1]
                 key = (name, run)
                 if sent.setdefault(key, (doc, tie, start)) != (doc, tie, start):
-                    rows.append((hash((doc, start)), doc, tie, start, count, inner, None))
+                    rows.append((hash((doc, start)), doc, tie, p, None))
                 else:
                     held += len(run) + 200
-                    rows.append((name, doc, tie, start, count, inner, run))
+                    rows.append((name, doc, tie, p, run))
             if len(rows) >= ASK_ROWS:
                 yield _batch(_ASKS, *map(list, zip(*rows)))
                 rows = []
@@ -275,9 +304,8 @@ def run_texts(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         if rows:
             yield _batch(_ASKS, *map(list, zip(*rows)))
 
-    return beside_texts(texts, runs).mapInArrow(
-        cut, "route long, doc long, tie long, start long, count long, inner boolean, run binary"
-    )
+    together = beside_texts(texts, runs, copies.select("doc", "tie"))
+    return together.mapInArrow(cut, "route long, doc long, tie long, packed long, run binary")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -418,17 +446,18 @@ def removed_ranges(asks: DataFrame, length: int, index_bytes: int = INDEX_BYTES)
         name, inner = None, False
         earliest: dict[bytes, tuple[int, int, int]] = {}
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("route", "doc", "tie", "start", "count", "inner", "run")]
-            for route, doc, tie, start, count, within, run in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("route", "doc", "tie", "packed", "run")]
+            for route, doc, tie, packed, run in zip(*columns):
+                start = packed >> 16
                 if run is None:
-                    out.append((doc, tie, start, start + count + length - 1))
+                    out.append((doc, tie, start, start + ((packed >> 4) & 0xFFF) + length))
                     continue
                 if route != name:
                     index.add_name(earliest, inner)
                     if index.size >= index_bytes:
                         out += index.ranges()
                     name, inner, earliest = route, False, {}
-                inner |= within
+                inner |= bool(packed & 1)
                 place = (doc, tie, start)
                 best = earliest.setdefault(run, place)
                 if best != place:
@@ -449,9 +478,12 @@ def removed_ranges(asks: DataFrame, length: int, index_bytes: int = INDEX_BYTES)
 
 def find_repeats(keyed: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Written byte ranges to remove from the rows of `_keyed`."""
+    copies = whole_copies(keyed, length)
     runs = repeated_runs(window_runs(keyed, length))
-    asks = run_texts(compressed(keyed, carry=False), runs, length)
-    return settle(removed_ranges(asks, length, index_bytes))
+    asks = run_texts(compressed(keyed, carry=False), runs, copies, length)
+    ranges = settle(removed_ranges(asks, length, index_bytes))
+    whole = copies.select("doc", "tie", F.lit(0).cast("long").alias("begin"), F.col("size").alias("end"))
+    return ranges.unionByName(whole)
 
 
 def merged_spans(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
