@@ -1,7 +1,109 @@
-"""SQL for the training-data queries that SQL can express."""
+"""SQL for the training-data queries that SQL can express.
+
+The fingerprints, pieces, signatures, indexes and models of the other operators have no SQL;
+tests/llm compares them with brute force.
+"""
 
 from __future__ import annotations
 
+from litrewise.llm.sharding import Node, grow_tree, uniform_tree
+
+# The numbers are those of litrewise.llm.mixing. A source's sample stops at the rank whose words
+# are nearest the rest; rows of equal rank go together, as the default window frame takes them.
+SOURCE_MIX = r"""
+with sized as (
+    select doc_id, source,
+           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+           (('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/mix-1'), 1, 13))::bigint::double + 0.5)
+               / 4503599627370496.0 as u
+    from documents),
+sources as (
+    select source, sum(size)::bigint as source_size,
+           [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint]::double as weight
+    from sized group by source),
+caps as (
+    select *, 2.0::double * source_size as cap, 2.0::double * source_size / weight as filling,
+           sum(source_size) over ()::double * 1.5::double as share
+    from sources),
+levels as (
+    select *, (share - coalesce(sum(cap) over (order by filling, source nulls last
+                                               rows between unbounded preceding and 1 preceding), 0))
+              / sum(weight) over (order by filling, source nulls last
+                                  rows between current row and unbounded following) as level
+    from caps),
+final as (
+    select min(struct_pack(f := filling, l := level)) filter (where cap > level * weight).l as level from levels),
+targets as (
+    select source, source_size, least(cap, coalesce(final.level * weight, cap)) as target
+    from levels, final),
+plans as (
+    select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole,
+           case when source_size > 0 then target / source_size - floor(target / source_size) else 0 end as fraction
+    from targets),
+ranked as (
+    select s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, p.fraction,
+           p.target - p.whole * p.source_size as rest,
+           case when fraction > 0 then
+               ((u / (1.0::double - u)) / ((size + 1.0::double) / (size + 100.0::double)))
+               / (fraction / (1.0::double - fraction)) end as draw
+    from sized s join plans p on s.source is not distinct from p.source),
+numbered as (
+    select *, least(floor(draw / (draw + 1.0::double) * 4503599627370496.0::double)::bigint, 4503599627370495) as place
+    from ranked),
+summed as (
+    select source, place, rest, sum(sum(size)) over (partition by source order by place) as upto, sum(size) as words
+    from numbered where fraction > 0 and rest > 0 and size > 0 group by source, place, rest),
+crossing as (
+    select source, coalesce(min(place) filter (where upto >= rest), max(place)) as place from summed group by source),
+cuts as (
+    select s.source, case when upto - rest <= rest - (upto - words) then s.place else s.place - 1 end as cut
+    from summed s join crossing c on s.source is not distinct from c.source and s.place = c.place)
+select doc_id, n.size, source_size::bigint as source_size, target,
+       ((whole + case when fraction > 0 and place <= coalesce(cut, -1) then 1 else 0 end) * n.size)::bigint as taken,
+       (whole + case when fraction > 0 and place <= coalesce(cut, -1) then 1 else 0 end)::int as copies
+from numbered n left join cuts c on n.source is not distinct from c.source
+"""
+
+
+
+def _draw(key: str, name: str, weight: float) -> str:
+    number = f"('0x' || substr(md5({key} || '/{name}'), 1, 13))::bigint::double"
+    return f"-ln(({number} + 0.5) / 4503599627370496.0) / {weight}::double"
+
+
+def _shard(key: str, level: tuple[Node, ...]) -> str:
+    """The shard that `key` reaches: in each level the smallest weighted draw wins."""
+    below = [str(n.shard) if n.shard is not None else _shard(key, n.children) for n in level]
+    if len(level) == 1:
+        return below[0]
+    draws = ", ".join(f"struct_pack(d := {_draw(key, n.name, n.weight)}, i := {i})" for i, n in enumerate(level))
+    cases = " ".join(f"when {i} then {b}" for i, b in enumerate(below))
+    return f"case list_min([{draws}]).i {cases} end"
+
+
+def sharding(shards: int = 16) -> str:
+    """The tree walk in SQL, beside a checksum computed bit by bit."""
+    tree = uniform_tree(shards)
+    return f"""
+with table_ as (
+    select list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+docs as (
+    select doc_id, coalesce(doc_id::varchar, '') as key, hex(encode(coalesce(text, ''))) as digits from documents),
+summed as (
+    select doc_id, key, (length(digits) // 2 + 1)::bigint as size,
+           xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+               list_transform(range(length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint)),
+               lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)))::bigint as text_crc32
+    from docs, table_),
+placed as (
+    select *, ({_shard("key", tree)})::int as shard, ({_shard("key", grow_tree(tree, shards))})::int as grown_shard
+    from summed)
+select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
+       (row_number() over (partition by shard order by ('0x' || substr(md5(key), 1, 13))::bigint,
+                           doc_id, text_crc32, size) - 1)::bigint as slot
+from placed"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op5_source_mix": SOURCE_MIX, "op9_sharding": sharding()}

@@ -95,7 +95,7 @@ def with_slots(rows: DataFrame, key: Column, ties: list[Column]) -> DataFrame:
     inside = Window.partitionBy("shard", "_part").orderBy("_hash", *ties)
     ranked = marked.withColumn("_rank", F.row_number().over(inside) - 1)
     joined = ranked.join(F.broadcast(starts), ["shard", "_part"])  # at most shards x 4096 rows
-    return joined.withColumn("slot", F.col("_start") + F.col("_rank")).drop(
+    return joined.withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long")).drop(
         "_hash", "_part", "_rank", "_start"
     )
 
