@@ -37,9 +37,9 @@ SPACE = "▁"
 # How sharply frequent pieces and long pieces are preferred: weights are rank ** -SHARPNESS.
 SHARPNESS = 1.0
 SEED = 20_011
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 # How many distinct units a Python worker remembers between batches (300 bytes each or so).
-MOST_UNITS = 400_000
+MOST_UNITS = 120_000
 
 _UNIT = re.compile(r" *[^ ]+| +")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
