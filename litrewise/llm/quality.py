@@ -25,7 +25,7 @@ from litrewise.llm.common import remainder, small_batches
 from litrewise.llm.sampling import lowest_per_class
 
 # The bound of the labelled sample, and the size of the model made from it.
-SAMPLE_PER_LABEL = 2000
+SAMPLE_PER_LABEL = 1200
 DIMENSIONS = 48
 NEIGHBOURS = 15
 TRIGRAMS = 16**3
