@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from checks import oracle, queries
+from litrewise.placement import settled_within
 
 
 def session(cpus: int = 8) -> SparkSession:
@@ -79,12 +80,13 @@ def main(sf_dir: str, chosen: list[str]) -> int:
             continue
         started = time.time()
         try:
-            df = run(spark, sf_dir)
-            if name in sql:
-                problem = difference(df, connection, sql[name])
-                verdict = "equal" if problem is None else f"DIFFERENT {problem}"
-            else:
-                problem, verdict = None, f"rows only: {df.count()}"
+            with settled_within(spark):
+                df = run(spark, sf_dir)
+                if name in sql:
+                    problem = difference(df, connection, sql[name])
+                    verdict = "equal" if problem is None else f"DIFFERENT {problem}"
+                else:
+                    problem, verdict = None, f"rows only: {df.count()}"
         except Exception as error:  # noqa: BLE001
             problem = verdict = f"ERROR {type(error).__name__} {str(error)[:600]}"
         failed += problem is not None

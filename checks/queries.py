@@ -1,4 +1,5 @@
-"""One query per implemented operator, each over the whole driver tables."""
+"""One query per implemented operator, each over the whole driver tables; where a filter, a
+sample, a limit or one target fuel is the operator's own feature, that is what is left out."""
 
 from __future__ import annotations
 
@@ -8,11 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.session import prepared
 from checks.tables import FIRST_YEAR, TIES, gas_raw
 from litrewise.functions import department
 from litrewise.operators import history, indices, metrics, prepare, reports, splits
 from litrewise.placement import settle, shared_folder
 from litrewise.plans import forecasting, indexed
+from litrewise.plans.history import with_history
 from litrewise.sources import (
     RAW_SCHEMA,
     materialize,
@@ -34,8 +37,7 @@ _registry: dict[str, Query] = {}
 
 def query(run: Query) -> Query:
     def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return run(spark, sf_dir)
+        return run(prepared(spark), sf_dir)
 
     _registry[run.__name__] = in_utc
     return run
@@ -64,6 +66,13 @@ def with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed.indexed_observations(gas_raw(spark, sf_dir), first_year=FIRST_YEAR)
 
 
+def weekly_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = indices.add_week_index(cleaned(spark, sf_dir), FIRST_YEAR)
+    return reports.average_without_rare_fuels(
+        rows, ["week_index", "name"], "prix", "avg_weekly_price"
+    )
+
+
 def index_in_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rounded index as whole numbers, so that its sums are exact in any order."""
     hundredths = F.round(F.col("price_index") * 100)
@@ -74,22 +83,30 @@ def rescaled(averages: DataFrame) -> DataFrame:
     return averages.withColumn("avg_index", F.col("avg_index") / 100)
 
 
-def past(spark: SparkSession, sf_dir: str, lags: tuple[int, ...], rolling: int | None) -> DataFrame:
+def past_of(raw: DataFrame, lags: tuple[int, ...], rolling: int | None, *extra: str) -> DataFrame:
+    rows, found = indexed.surveyed_observations(raw)
+    keep = [*KEYS, "prix", *extra]
+    return forecasting.complete_history(
+        rows, found.sizes, keep=keep, lags=lags, rolling=rolling, order=ORDER
+    )
+
+
+def past(
+    spark: SparkSession, sf_dir: str, lags: tuple[int, ...], rolling: int | None, *extra: str
+) -> DataFrame:
     """Kept observations with lag columns, incomplete rows dropped."""
-    rows = history.add_history(kept(spark, sf_dir), lags=lags, rolling=rolling, order=ORDER)
-    added = [history.lag_name(k) for k in lags]
-    if rolling is not None:
-        added.append(history.rolling_name(rolling))
-    return history.drop_incomplete(rows).select(*KEYS, "prix", *added)
+    return past_of(gas_raw(spark, sf_dir), lags, rolling, *extra)
 
 
-def last_price_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def last_price_forecast(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """The previous price as prediction: checks reports on predictions without a model."""
-    return past(spark, sf_dir, (1, 7), 7).withColumn("prediction", F.col("price_lag_1"))
+    return past(spark, sf_dir, (1, 7), 7, *extra).withColumn("prediction", F.col("price_lag_1"))
 
 
 def features(spark: SparkSession, sf_dir: str, which: forecasting.FeatureSet) -> DataFrame:
-    return forecasting.feature_table(with_index(spark, sf_dir), which, order=ORDER)
+    rows, found = indexed.surveyed_observations(gas_raw(spark, sf_dir))
+    rows = indexed.index_surveyed(rows, found, first_year=FIRST_YEAR)
+    return forecasting.feature_table(rows, which, found.sizes, order=ORDER)
 
 
 def feature_columns(df: DataFrame, which: forecasting.FeatureSet) -> DataFrame:
@@ -110,10 +127,20 @@ def src_csv_gz(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     rows = gas_raw(spark, sf_dir).select(*RAW_SCHEMA.names)
     rows.write.option("sep", ";").option("compression", "gzip").csv(path)
-    read = read_price_files(spark, f"{path}/*.csv.gz", partitions=8)
+    read = read_price_files(spark, f"{path}/*.csv.gz")
     return read.withColumn("prix", F.col("prix").try_cast("double"))
 
 
+@query
+def src_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    rows = gas_raw(spark, sf_dir).select(*RAW_SCHEMA.names)
+    rows.write.option("sep", ";").option("compression", "gzip").csv(path)
+    read = read_price_files(spark, f"{path}/*.csv.gz", infer_schema=True)
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]
+    return read.select(*typed).withColumn("prix", F.col("prix").try_cast("double"))
+
+
 @query
 def src_multi_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
@@ -148,10 +175,8 @@ def sql_year_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forecast_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
-    which = forecasting.FEATURES_C
-    train, test = splits.split_by_date(model_rows(spark, sf_dir, which), CUT)
-    model = forecasting.fit(train, forecasting.linear_regression(), which.columns)
-    forecasting.export_forecast(forecasting.predict(model, test), path)
+    _, test = splits.split_by_date(last_price_forecast(spark, sf_dir, "cp"), CUT)
+    forecasting.export_forecast(test, path)
     return read_stage(spark, path)
 
 
@@ -165,7 +190,15 @@ def clean_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drop_rare_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.fuel_counts(prepare.drop_rare_fuels(cleaned(spark, sf_dir)))
+    return prepare.fuel_counts(kept(spark, sf_dir))
+
+
+@query
+def not_a_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices spelled NaN or Infinity are lacking prices, also in the past of later rows."""
+    spelled = F.when(F.col("l_orderkey") % 89 == 0, "NaN").when(F.col("l_orderkey") % 83 == 0, "Infinity")
+    raw = gas_raw(spark, sf_dir).withColumn("prix", F.coalesce(spelled, F.col("prix").cast("string")))
+    return past_of(raw, (1, 7), 7)
 
 
 @query
@@ -221,7 +254,7 @@ def sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def join_national_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = indices.join_national_average(kept(spark, sf_dir))
+    rows = indexed.with_national_average(kept(spark, sf_dir))
     return rows.select(*KEYS, "prix", "avg_day_price_france")
 
 
@@ -247,12 +280,13 @@ def rare_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def national_daily_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indices.national_daily_average(kept(spark, sf_dir))
+    rows = cleaned(spark, sf_dir)
+    return reports.average_without_rare_fuels(rows, indices.DAY_AND_FUEL, "prix", indices.AVERAGE)
 
 
 @query
 def weekly_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.weekly_average(weekly(spark, sf_dir))
+    return weekly_averages(spark, sf_dir).orderBy("week_index", "name")
 
 
 @query
@@ -291,12 +325,12 @@ def kpis_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.filter_options(kept(spark, sf_dir))
+    return reports.filter_options_without_rare_fuels(cleaned(spark, sf_dir))
 
 
 @query
 def peak_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.peak_week(reports.weekly_average(weekly(spark, sf_dir)))
+    return reports.peak_week(weekly_averages(spark, sf_dir))
 
 
 @query
@@ -327,8 +361,9 @@ def features_lag_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def features_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history.add_history(kept(spark, sf_dir), lags=(), rolling=7, order=ORDER)
-    return rows.select(*KEYS, "prix", "rolling_avg_7")
+    rows, found = indexed.surveyed_observations(gas_raw(spark, sf_dir))
+    rows = rows.select(*KEYS, "prix")
+    return with_history(rows, found.sizes, lags=(), rolling=7, order=ORDER)
 
 
 @query
@@ -365,9 +400,7 @@ def split_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = splits.split_by_date(past(spark, sf_dir, (1,), None), CUT)
-    parts = [p.withColumn("part", F.lit(n)) for p, n in ((train, "train"), (test, "test"))]
-    return parts[0].unionByName(parts[1])
+    return splits.with_part(past(spark, sf_dir, (1,), None), CUT)
 
 
 @query
@@ -404,7 +437,7 @@ def pred_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def station_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, test = splits.split_by_date(last_price_forecast(spark, sf_dir), CUT)
-    return reports.station_series(test, tiebreak=TIES)
+    return forecasting.first_station_series(test, tiebreak=TIES)
 
 
 # Models
@@ -414,7 +447,9 @@ def station_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = forecasting.FEATURES_A
     rows = forecasting.assemble(features(spark, sf_dir, which), which.columns)
-    return rows.select(*KEYS, "prix", vector_to_array("features").alias("features"))
+    rows = rows.withColumn("elements", vector_to_array("features"))
+    elements = [F.get("elements", i).alias(c) for i, c in enumerate(which.columns)]
+    return rows.select(*KEYS, "prix", *elements)
 
 
 @query
@@ -423,7 +458,60 @@ def model_lr_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = splits.split_by_date(rows, CUT)
     model = forecasting.fit(train, forecasting.linear_regression(), ["price_lag_1"])
     predicted = forecasting.predict(model, test)
-    return predicted.select(*KEYS, "prix", F.round("prediction", 0).alias("prediction"))
+    return predicted.select(*KEYS, "prix", F.round("prediction", 2).alias("prediction"))
+
+
+@query
+def model_lr_bivariate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features, checked against the closed form."""
+    train, test = splits.split_by_date(settle(past(spark, sf_dir, (1, 7), 7)), CUT)
+    columns = ["price_lag_1", "price_lag_7"]
+    model = forecasting.fit(train, forecasting.linear_regression(), columns)
+    predicted = forecasting.predict(model, test)
+    return predicted.select(*KEYS, "prix", F.round("prediction", 2).alias("prediction"))
+
+
+@query
+def model_lr_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit of all seven features is the best one: its residual on the training rows is
+    correlated with none of them and has mean 0."""
+    which = forecasting.FEATURES_A
+    train, _ = splits.split_by_date(model_rows(spark, sf_dir, which), CUT)
+    model = forecasting.fit(train, forecasting.linear_regression(), which.columns)
+    rows = forecasting.predict(model, train).withColumn("residual", F.col("prix") - F.col("prediction"))
+    measured = [
+        F.struct(F.lit(c).alias("feature"), (F.round(F.abs(F.corr("residual", c)), 6) + 0.0).alias("correlation"))
+        for c in which.columns
+    ]
+    mean = F.struct(F.lit("mean").alias("feature"), (F.round(F.abs(F.avg("residual")) / F.avg("prix"), 6) + 0.0).alias("correlation"))
+    return rows.agg(F.explode(F.array(*measured, mean)).alias("m")).select("m.*")
+
+
+@query
+def model_rf_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree with one split on the month: the split of least variance."""
+    train, test = splits.split_by_date(settle(past(spark, sf_dir, (1, 7), 7, "month")), CUT)
+    stump = forecasting.random_forest(trees=1, depth=1).setBootstrap(False).setFeatureSubsetStrategy("all")
+    predicted = forecasting.predict(forecasting.fit(train, stump, ["month"]), test)
+    return predicted.select(*KEYS, "prix", F.round("prediction", 2).alias("prediction"))
+
+
+@query
+def model_gbt_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A boosted model of one round and one split on the month."""
+    train, test = splits.split_by_date(settle(past(spark, sf_dir, (1, 7), 7, "month")), CUT)
+    stump = forecasting.boosted_trees(iterations=1, depth=1)
+    predicted = forecasting.predict(forecasting.fit(train, stump, ["month"]), test)
+    return predicted.select(*KEYS, "prix", F.round("prediction", 2).alias("prediction"))
+
+
+@query
+def forecast_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two forecasts without a model, the last price and the rolling mean, side by side."""
+    rows = past(spark, sf_dir, (1, 7), 7)
+    columns = {"last_price": "price_lag_1", "rolling_mean": "rolling_avg_7"}
+    values = metrics.evaluate_side_by_side(rows, columns)
+    return values.select("model", *[F.round(m, 4).alias(m) for m in metrics.METRICS])
 
 
 @query
@@ -452,8 +540,10 @@ def model_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models are compared for one target fuel, whose rows alone are read: that is the feature."""
     which = forecasting.FEATURES_A
     fuel = prepare.filter_fuel(with_index(spark, sf_dir), FUEL)
-    rows = settle(forecasting.feature_table(fuel, which, order=ORDER))
+    rows = forecasting.feature_table(fuel, which, order=ORDER)
+    rows = settle(rows.select(*KEYS, "prix", *which.columns))
     train, test = splits.split_by_date(rows, CUT)
     return forecasting.compare_models(train, test, forecasting.default_models(), which.columns)

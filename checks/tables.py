@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litrewise.placement import spread
-
 FIRST_YEAR = 1995
 
 # Unique within one station and day.
@@ -26,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def gas_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line items as raw observations; prices are whole cents, one order key in 97
     has an invalid date."""
-    items = spread(table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS))
+    items = table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(

@@ -1,22 +1,17 @@
-"""Lag and rolling features over each station and fuel's own past."""
+"""Lag and rolling features over each station and fuel's own past. Nothing here starts a job."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from litrewise.placement import fits_broadcast, settle
-
 SERIES = ("id", "name")
 ORDER = ("day_date", "date_parsed", "prix")
 
-# A series longer than this is cut into pieces of about this many rows.
-MAX_SERIES_ROWS = 1_000_000
-
 
 def lag_name(rows: int) -> str:
     return f"price_lag_{rows}"
@@ -26,6 +21,20 @@ def rolling_name(rows: int) -> str:
     return f"rolling_avg_{rows}"
 
 
+def check_depths(lags: Sequence[int], rolling: int | None) -> None:
+    if any(k < 1 for k in lags) or (rolling is not None and rolling < 1):
+        raise ValueError("lags and rolling count rows of the past: 1 or more")
+
+
+def history_columns(
+    window: WindowSpec, lags: Sequence[int], rolling: int | None, value: str
+) -> dict[str, Column]:
+    columns = {lag_name(k): F.lag(value, k).over(window) for k in lags}
+    if rolling is not None:
+        columns[rolling_name(rolling)] = F.avg(value).over(window.rowsBetween(-rolling, -1))
+    return columns
+
+
 def add_history(
     df: DataFrame,
     *,
@@ -34,83 +43,46 @@ def add_history(
     value: str = "prix",
     series: Sequence[str] = SERIES,
     order: Sequence[str] = ORDER,
-    max_series_rows: int | None = MAX_SERIES_ROWS,
 ) -> DataFrame:
     """Add `price_lag_k` and `rolling_avg_n`, counted in rows of the same series.
 
     The rolling mean covers the `rolling` rows before the current one, fewer at the
     start of a series. `order` should be total within a series; rows equal in the
     default order carry the same price, so their features do not depend on which comes
-    first. All columns share one window: one shuffle and one sort.
+    first. All columns share one window: one shuffle and one sort, with a task for each
+    series. `plans.history` does the same for series too long for a task.
 
-    One task handles one series, so series above `max_series_rows` are computed in
-    pieces with the same result (see `_in_pieces`). `None` asserts that there are none
-    and saves the counting job.
+    Raises ValueError for lags or a rolling width below 1.
     """
-
-    def features(window: WindowSpec) -> dict[str, Column]:
-        columns = {lag_name(k): F.lag(value, k).over(window) for k in lags}
-        if rolling is not None:
-            frame = window.rowsBetween(-rolling, -1)
-            columns[rolling_name(rolling)] = F.avg(value).over(frame)
-        return columns
-
-    plain = Window.partitionBy(*series).orderBy(*order)
-    if max_series_rows is None:
-        return df.withColumns(features(plain))
-
-    counted = df.groupBy(*series).agg(F.count(F.lit(1)).alias("n_rows"))
-    long_series = counted.filter(F.col("n_rows") > max_series_rows)
-    total = long_series.agg(F.count(F.lit(1)).alias("n"), F.sum("n_rows").alias("rows")).first()
-    if total["n"] == 0:
-        return df.withColumns(features(plain))
-
-    depth = max([*lags, rolling or 0])
-    pieces = -(-total["rows"] // max_series_rows) + 1
-    keys = settle(long_series.select(*series))
-    if not fits_broadcast(keys):
-        pieces = -(-df.count() // max_series_rows) + 1
-        return _in_pieces(df, features, depth, pieces, series, order)
-    ordinary = _matching(df, keys, series, "left_anti").withColumns(features(plain))
-    long_rows = _matching(df, keys, series, "left_semi")
-    return ordinary.unionByName(_in_pieces(long_rows, features, depth, pieces, series, order))
-
-
-def _matching(df: DataFrame, keys: DataFrame, series: Sequence[str], how: str) -> DataFrame:
-    """Semi or anti join on the series columns, treating null as an ordinary value."""
-    renamed = keys.select(*[F.col(c).alias(f"_key_{c}") for c in series])
-    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in series]
-    return df.join(F.broadcast(renamed), reduce(Column.__and__, same), how)
+    check_depths(lags, rolling)
+    window = Window.partitionBy(*series).orderBy(*order)
+    return df.withColumns(history_columns(window, lags, rolling, value))
 
 
-def _in_pieces(
-    df: DataFrame,
-    features: Callable[[WindowSpec], dict[str, Column]],
-    depth: int,
-    pieces: int,
-    series: Sequence[str],
-    order: Sequence[str],
+def piece_history(
+    pieces: DataFrame,
+    *,
+    lags: Sequence[int] = (1, 7),
+    rolling: int | None = 7,
+    value: str = "prix",
+    series: Sequence[str] = SERIES,
+    order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """The same features for series too long for one task.
-
-    The rows are range-partitioned on series and order, a random salt last so that even
-    equal rows can be parted, and the partition number is frozen by writing the result.
-    A window per piece then serves every row with at least `depth` rows before it in its
-    piece. The first `depth` rows of each piece get theirs from a second window over
-    only the first and last `depth` rows of all pieces: whatever precedes such a row
-    within `depth` steps is among them.
+    """The columns of `add_history` for series cut into pieces.
+
+    `pieces` is range-partitioned on series and order, with the number of the part as
+    `_piece` and a last tie-break `_salt`, both fixed. A window per piece serves every row
+    with enough rows before it in its piece. The first rows of each piece get theirs from a
+    second window over only the first and last rows of all pieces: whatever precedes such a
+    row within the depth is among them.
     """
-    ranged = (
-        df.withColumn("_salt", F.rand(seed=17))
-        .repartitionByRange(pieces, *series, *order, "_salt")
-        .withColumn("_piece", F.spark_partition_id())
-    )
-    frozen = settle(ranged)
+    check_depths(lags, rolling)
+    depth = max([*lags, rolling or 0])
     piece = Window.partitionBy(*series, "_piece")
     ordered = piece.orderBy(*order, "_salt")
-    ranked = frozen.withColumns(
+    ranked = pieces.withColumns(
         {
-            **features(ordered),
+            **history_columns(ordered, lags, rolling, value),
             "_rank": F.row_number().over(ordered),
             "_size": F.count(F.lit(1)).over(piece),
         }
@@ -120,13 +92,22 @@ def _in_pieces(
     whole = Window.partitionBy(*series).orderBy(*order, "_salt")
     edges = (
         ranked.filter((F.col("_rank") <= depth) | (F.col("_rank") > F.col("_size") - depth))
-        .withColumns(features(whole))
+        .withColumns(history_columns(whole, lags, rolling, value))
         .filter(F.col("_rank") <= depth)
         .drop(*helpers)
     )
     return inner.unionByName(edges)
 
 
+def complete(columns: Sequence[str], types: dict[str, str]) -> Column:
+    """Whether no column holds a null or, for floating-point numbers, a NaN."""
+    tests = [
+        F.col(c).isNotNull() & ~F.isnan(c) if types[c] in ("float", "double") else F.col(c).isNotNull()
+        for c in columns
+    ]
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
 def daily_means(
     df: DataFrame, *, value: str = "prix", context: Sequence[str] = ("lat", "long")
 ) -> DataFrame:

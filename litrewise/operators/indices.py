@@ -1,4 +1,4 @@
-"""National averages, the price index and the week index."""
+"""National averages, the price index and the week index. Nothing here starts a Spark job."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrewise.functions import price_index, week_number
-from litrewise.placement import MAX_BROADCAST_BYTES, fits_broadcast, settle
 
 AVERAGE = "avg_day_price_france"
 DAY_AND_FUEL = ["day_date", "name"]
@@ -24,18 +23,19 @@ def attach_per_day(
     daily: DataFrame,
     how: str,
     *,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    broadcast: bool = False,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Join a settled table with one row per day and fuel to the observations.
+    """Join a table with one row per day and fuel to the observations.
 
-    The daily side is broadcast when its measured size allows; the observations are
-    then not shuffled at all. Otherwise both sides are shuffled with a salt, so that the
-    rows of one busy day and fuel are spread over `SALTS` tasks.
+    With `broadcast`, for a daily side whose size the caller has measured, the observations
+    are not shuffled at all. Otherwise both sides are shuffled with a salt, so that the
+    rows of one busy day and fuel are spread over `salts` tasks.
     """
-    if fits_broadcast(daily, max_broadcast_bytes):
+    if broadcast:
         return df.join(F.broadcast(daily), DAY_AND_FUEL, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS))
-    every_salt = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]).cast("array<bigint>"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     return (
         df.withColumn("_salt", salt)
         .join(daily.withColumn("_salt", every_salt), [*DAY_AND_FUEL, "_salt"], how)
@@ -47,12 +47,12 @@ def join_national_average(
     df: DataFrame,
     average: DataFrame | None = None,
     *,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    broadcast: bool = False,
 ) -> DataFrame:
     """Every observation with the average of its day and fuel; all rows are kept."""
     if average is None:
-        average = settle(national_daily_average(df))
-    return attach_per_day(df, average, "left", max_broadcast_bytes=max_broadcast_bytes)
+        average = national_daily_average(df)
+    return attach_per_day(df, average, "left", broadcast=broadcast)
 
 
 def add_price_index(df: DataFrame, *, digits: int | None = 2) -> DataFrame:

@@ -1,28 +1,31 @@
-"""Cleaning and the removal of rarely sold fuels."""
+"""Cleaning and the removal of rarely sold fuels. Nothing here starts a Spark job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litrewise.functions import degrees, observed_at
-from litrewise.placement import settle
 
-# A ranking longer than this is joined without a broadcast hint.
-MAX_BROADCAST_NAMES = 10_000
+SALTS = 32
 
 
 def clean_prices(raw: DataFrame) -> DataFrame:
     """Parse time and price, scale coordinates, and drop rows without a valid time.
 
-    Adds `date_parsed`, `day_date`, `year`, `month` and `week`. A price that is not a
-    number becomes null and its row stays.
+    Adds `date_parsed`, `day_date`, `year`, `month` and `week`. `date` may be text, a date
+    or a timestamp. A price that is not a finite number ("abc", "NaN", "Infinity") becomes
+    null and its row stays.
     """
     moment = F.col("date")
-    if not isinstance(raw.schema["date"].dataType, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(raw.schema["date"].dataType, T.StringType):
         moment = observed_at(moment)
     day = F.col("day_date")
+    price = F.col("prix").try_cast("double")
+    finite = F.abs(price) < F.lit(float("inf"))
     return (
         raw.filter(moment.isNotNull())
         # The filter has tested the spelling; a plain cast does not test it again.
@@ -35,7 +38,7 @@ def clean_prices(raw: DataFrame) -> DataFrame:
                 "week": F.weekofyear(day),
                 "lat": degrees(F.col("lat")),
                 "long": degrees(F.col("long")),
-                "prix": F.col("prix").try_cast("double"),
+                "prix": F.when(finite, price),
             }
         )
     )
@@ -51,18 +54,33 @@ def rarest_fuels(df: DataFrame, n: int = 2) -> DataFrame:
     return fuel_counts(df.filter(F.col("name").isNotNull())).limit(n)
 
 
-def without_fuels(df: DataFrame, fuels: DataFrame, n: int) -> DataFrame:
-    """Rows with a name that is not among the at most `n` names of `fuels`."""
-    names = fuels.select("name")
-    if n <= MAX_BROADCAST_NAMES:
-        names = F.broadcast(names)
-    return df.filter(F.col("name").isNotNull()).join(names, "name", "left_anti")
+def without_fuels(df: DataFrame, fuels: DataFrame | Sequence[str], *, salts: int = SALTS) -> DataFrame:
+    """Rows with a name that is not among `fuels`.
+
+    A list becomes a filter that reaches the scan. A frame is anti-joined with a salt, so
+    that the rows of one much sold fuel are spread over `salts` tasks.
+    """
+    named = df.filter(F.col("name").isNotNull())
+    if not isinstance(fuels, DataFrame):
+        return named.filter(~F.col("name").isin(list(fuels))) if fuels else named
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    salted = fuels.select("name").distinct().withColumn("_salt", every_salt)
+    return named.withColumn("_salt", salt).join(salted, ["name", "_salt"], "left_anti").select(*df.columns)
 
 
-def drop_rare_fuels(df: DataFrame, n: int = 2) -> DataFrame:
-    """Drop the `n` rarest fuels. They are ranked once, here, and not again by every job
-    that later reads the result."""
-    return without_fuels(df, settle(rarest_fuels(df, n)), n)
+def groups_without_rare_fuels(groups: DataFrame, n: int = 2, rows: str = "n_rows") -> DataFrame:
+    """Groups, each of one fuel and with its number of rows, but those of the `n` rarest.
+
+    The same as dropping the fuels before grouping, with one pass over the observations:
+    the groups carry what the ranking needs. Equal counts are ranked by name. The groups
+    are ranked by their own totals, so a fuel is no window of its own.
+    """
+    named = groups.filter(F.col("name").isNotNull())
+    totals = named.groupBy("name").agg(F.sum(rows).alias("_total"))
+    place = F.row_number().over(Window.orderBy("_total", "name"))  # one row per fuel
+    kept = totals.withColumn("_place", place).filter(F.col("_place") > n).select("name")
+    return named.join(kept, "name", "left_semi").select(*groups.columns)
 
 
 def filter_fuel(df: DataFrame, name: str) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litrewise.functions import department, key_hash_sample
+from litrewise.operators.prepare import groups_without_rare_fuels
 
 
 def average_by(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias(alias))
 
 
+# Fixed text of the report's statement: four clauses that its definition leaves no choice in.
 def yearly_average_sql(spark: SparkSession, view: str = "gas_prices") -> DataFrame:
     """Average price per year and fuel, from a registered view."""
     return spark.sql(
@@ -28,6 +30,15 @@ def weekly_average(df: DataFrame) -> DataFrame:
     return average_by(df, keys, "prix", "avg_weekly_price").orderBy(*keys)
 
 
+def average_without_rare_fuels(
+    df: DataFrame, keys: Sequence[str], value: str, alias: str, n: int = 2
+) -> DataFrame:
+    """`average_by` without the `n` rarest fuels, in one pass: groups are made first and
+    dropped by the row counts they carry. `keys` must hold `name`."""
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(value).alias(alias))
+    return groups_without_rare_fuels(groups, n).select(*keys, alias)
+
+
 def daily_average(df: DataFrame) -> DataFrame:
     keys = ["day_date", "name"]
     return average_by(df, keys, "prix", "avg_daily_price").orderBy(*keys)
@@ -75,7 +86,16 @@ def filter_options(df: DataFrame) -> DataFrame:
 
     One distinct over the data; the two lists are then drawn from its small result.
     """
-    pairs = df.select("year", "name").distinct()
+    return _options(df.select("year", "name").distinct())
+
+
+def filter_options_without_rare_fuels(df: DataFrame, n: int = 2) -> DataFrame:
+    """`filter_options` without the `n` rarest fuels, in one pass."""
+    groups = df.groupBy("year", "name").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _options(groups_without_rare_fuels(groups, n))
+
+
+def _options(pairs: DataFrame) -> DataFrame:
     option = F.explode(
         F.array(
             F.struct(F.lit("year").alias("kind"), F.col("year").cast("string").alias("value")),
@@ -121,13 +141,8 @@ def sample_rows(
 
 
 def station_series(
-    predictions: DataFrame, station: int | None = None, *, tiebreak: Sequence[str] = ()
+    predictions: DataFrame, station: int | None, *, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
-    """Actual and predicted prices of one station in time order, by default of the
-    smallest station number."""
-    if station is None:
-        wanted = predictions.agg(F.min("id").alias("id")).scalar()
-    else:
-        wanted = F.lit(station)
+    """Actual and predicted prices of one station in time order; none for no station."""
     columns = ["day_date", "name", "prix", "prediction", *tiebreak]
-    return predictions.filter(F.col("id") == wanted).select(*columns).orderBy("day_date", "name", *tiebreak)
+    return predictions.filter(F.col("id") == F.lit(station)).select(*columns).orderBy("day_date", "name", *tiebreak)

@@ -17,6 +17,13 @@ def split_by_date(df: DataFrame, cut: str | dt.date) -> tuple[DataFrame, DataFra
     return df.filter(F.col("day_date") < _as_date(cut)), df.filter(F.col("day_date") >= _as_date(cut))
 
 
+def with_part(df: DataFrame, cut: str | dt.date) -> DataFrame:
+    """Both sides in one frame, told apart by `part`: train before the cut day, test from it on."""
+    before = F.col("day_date") < _as_date(cut)
+    dated = df.filter(F.col("day_date").isNotNull())
+    return dated.withColumn("part", F.when(before, "train").otherwise("test"))
+
+
 def quantile_day(df: DataFrame, q: float = 0.8, *, accuracy: int | None = None) -> DataFrame:
     """One row, `cut`: the day at the `q` quantile of all rows.
 

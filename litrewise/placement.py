@@ -1,9 +1,10 @@
-"""Where intermediate results live, and when a join side may be broadcast."""
+"""Where intermediate results live, who removes them, and when a join side may be broadcast."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,33 +12,52 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
-_local_folders: dict[str, str] = {}
+# Paths handed out and not yet removed, and folders named for sessions without one, by application.
+_paths: dict[str, list[str]] = {}
+_named: dict[str, str] = {}
+
+
+def name_folder(spark: SparkSession, path: str) -> None:
+    """The folder to settle data in, for a session that names none in `spark.checkpoint.dir`."""
+    _named[spark.sparkContext.applicationId] = path
+
+
+def folder_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or _named.get(spark.sparkContext.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below the folder the cluster names in `spark.checkpoint.dir`.
+    """A fresh path below the folder that `spark.checkpoint.dir` names, or else `name_folder`.
 
-    Only a local session without that setting gets a temporary folder of its machine.
+    The path belongs to the session's application until `release` removes it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = folder_root(spark)
     if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_folders.get(context.applicationId)
-        if root is None:
-            root = tempfile.mkdtemp(prefix="litrewise-")
-            _local_folders[context.applicationId] = root
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of a scan that has fewer tasks than there are cores.
+def release(spark: SparkSession, *, since: int = 0) -> None:
+    """Remove what was settled after the first `since` paths; frames that read it are void."""
+    own = _paths.get(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in own[since:]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    del own[since:]
 
-    That happens with a few unsplittable files; a large scan is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+@contextmanager
+def settled_within(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving, also by an error, whatever was settled inside the block."""
+    before = len(_paths.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, since=before)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -45,6 +65,7 @@ def settle(df: DataFrame) -> DataFrame:
 
     The lineage ends there: a lost executor costs a re-read, never a recomputation,
     and values that depend on the layout (partition numbers, random salts) are frozen.
+    The files stay until `release` or the end of a `settled_within` block.
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)

@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrewise.operators.history import (
-    MAX_SERIES_ROWS,
     ORDER,
-    add_history,
+    complete,
     drop_incomplete,
     lag_name,
     rolling_name,
 )
 from litrewise.operators.metrics import evaluate_side_by_side
-from litrewise.operators.reports import with_department
+from litrewise.operators.reports import station_series, with_department
+from litrewise.plans.history import MAX_SERIES_ROWS, series_sizes, with_history
 from litrewise.sources.stages import write_stage
 
 
@@ -53,30 +52,53 @@ FEATURES_C = FeatureSet(
     ),
 )
 
+# Seed and sizes of the compared models.
 SEED = 42
+FOREST_TREES = 30
+FOREST_DEPTH = 10
+BOOSTING_ROUNDS = 20
 
 
-def feature_table(
+def complete_history(
     df: DataFrame,
-    features: FeatureSet,
+    sizes: DataFrame | None = None,
     *,
+    keep: Sequence[str],
+    lags: Sequence[int] = (1, 7),
+    rolling: int | None = 7,
     order: Sequence[str] = ORDER,
-    max_series_rows: int | None = MAX_SERIES_ROWS,
+    max_series_rows: int = MAX_SERIES_ROWS,
 ) -> DataFrame:
-    """Observations with the features of their series' past; rows lacking any value,
-    in whatever column, are dropped after the past has been read.
+    """`keep` and the history columns of the rows that lack no value, in whatever column.
 
-    Whether the incoming columns are all present is decided before the window and
-    carried as one flag, so a model that needs few columns does not shuffle all.
-    `day_of_week` counts from 1 for Sunday.
+    Null and NaN count as lacking. Whether the incoming columns are all there is decided
+    before the window and carried as one flag, so only what is kept is shuffled. Rows are
+    dropped after the past has been read: they are part of it. `sizes` (rows of each
+    series) spares a pass that counts them.
     """
-    present = reduce(Column.__and__, [F.col(c).isNotNull() for c in df.columns])
-    flagged = df.withColumn("_present", present)
-    rows = add_history(
-        flagged, lags=features.lags, rolling=7, order=order, max_series_rows=max_series_rows
+    types = dict(df.dtypes)
+    narrow = df.select(*keep, complete(df.columns, types).alias("_present"))
+    sizes = series_sizes(df) if sizes is None else sizes
+    rows = with_history(
+        narrow, sizes, lags=lags, rolling=rolling, order=order, max_series_rows=max_series_rows
+    )
+    added = [lag_name(k) for k in lags] + ([rolling_name(rolling)] if rolling is not None else [])
+    return drop_incomplete(rows.filter("_present"), added).drop("_present")
+
+
+def feature_table(
+    df: DataFrame,
+    features: FeatureSet,
+    sizes: DataFrame | None = None,
+    *,
+    order: Sequence[str] = ORDER,
+    max_series_rows: int = MAX_SERIES_ROWS,
+) -> DataFrame:
+    """Observations with the features of their series' past; incomplete rows are dropped (see
+    `complete_history`). `day_of_week` counts from 1 for Sunday."""
+    rows = complete_history(
+        df, sizes, keep=df.columns, lags=features.lags, order=order, max_series_rows=max_series_rows
     )
-    added = [lag_name(k) for k in features.lags] + [rolling_name(7)]
-    rows = drop_incomplete(rows.filter("_present"), added).drop("_present")
     if "day_of_week" in features.columns:
         rows = rows.withColumn("day_of_week", F.dayofweek("day_date"))
     return rows
@@ -91,13 +113,13 @@ def linear_regression(label: str = "prix") -> LinearRegression:
 
 
 def random_forest(
-    label: str = "prix", *, trees: int = 30, depth: int = 10, seed: int = SEED
+    label: str = "prix", *, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED
 ) -> RandomForestRegressor:
     return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def boosted_trees(label: str = "prix", *, iterations: int = 20, seed: int = SEED) -> GBTRegressor:
-    return GBTRegressor(labelCol=label, maxIter=iterations, seed=seed)
+def boosted_trees(label: str = "prix", *, iterations: int = BOOSTING_ROUNDS, depth: int = 5, seed: int = SEED) -> GBTRegressor:
+    return GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, seed=seed)
 
 
 def fit(train: DataFrame, estimator: Estimator, feature_cols: Sequence[str]) -> PipelineModel:
@@ -166,3 +188,10 @@ def forecast_rows(predictions: DataFrame) -> DataFrame:
 
 def export_forecast(predictions: DataFrame, path: str) -> None:
     write_stage(forecast_rows(predictions), path)
+
+
+def first_station_series(predictions: DataFrame, *, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """`station_series` of the smallest station. Its number is fetched first: as a literal it
+    reaches the scan, and only that station's rows are computed again."""
+    station = predictions.agg(F.min("id").alias("id")).first()["id"]
+    return station_series(predictions, station, tiebreak=tiebreak)

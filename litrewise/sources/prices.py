@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from litrewise.placement import spread
-
 # Column names and their order in the raw files. Text is kept for the
 # columns whose bad values must become nulls, and for codes with leading zeros.
 RAW_SCHEMA = T.StructType(
@@ -36,10 +34,9 @@ def read_price_files(
     """Union of all price files matching `paths` (globs allowed).
 
     A declared schema spares the extra pass over the data that inference costs.
-    A gzip file cannot be split, so one file is one scan task. With fewer tasks than
-    cores the rows are dealt out to all cores. `partitions` deals them out to that many
-    tasks in any case: use it when one file holds a large share of all rows, so that
-    only its decompression, and no later step, stays in a single task.
+    A gzip file cannot be split, so one file is one scan task. `partitions` deals the rows
+    out to that many tasks: use it when a few files hold a large share of all rows, so that
+    only their decompression, and no later step, stays in a few tasks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("sep", ";").option("header", False)
@@ -47,4 +44,4 @@ def read_price_files(
         rows = reader.option("inferSchema", True).csv(paths).toDF(*RAW_SCHEMA.names)
     else:
         rows = reader.schema(RAW_SCHEMA).csv(paths)
-    return spread(rows) if partitions is None else rows.repartition(partitions)
+    return rows if partitions is None else rows.repartition(partitions)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -9,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# Hidden from scans, like all names that begin with an underscore.
+SCHEMA_FOLDER = "_stage_schema"
+
+
 def write_stage(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> None:
     """Replace the stage at `path`.
 
@@ -19,12 +25,28 @@ def write_stage(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    # Folder values have no type of their own; readers take them from here.
+    described = df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string")
+    described.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{SCHEMA_FOLDER}")
+
+
+def stage_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema a stage was written with, if it tells."""
+    try:
+        described = spark.read.text(f"{path.rstrip('/')}/{SCHEMA_FOLDER}").first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return T.StructType.fromJson(json.loads(described["value"])) if described else None
 
 
 def read_stage(
     spark: SparkSession, path: str, *, schema: T.StructType | None = None
 ) -> DataFrame:
-    """Read a stage; `schema` keeps folder values such as "98" from becoming numbers."""
+    """Read a stage with `schema`, or with the one it was written with, so that folder values
+    such as "98" do not become numbers."""
+    schema = schema or stage_schema(spark, path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
@@ -57,7 +79,7 @@ def materialize(
         return read_stage(spark, path, schema=schema)
     df = build()
     write_stage(df, path, partition_by=partition_by)
-    return read_stage(spark, path, schema=schema or df.schema)
+    return read_stage(spark, path, schema=schema)
 
 
 def register_view(df: DataFrame, name: str = "gas_prices") -> DataFrame:
