@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litrewise.llm.common import hex_number
+from litrewise.llm.common import SCALE, hex_number
+from litrewise.placement import fits_broadcast
 
 
 def lowest_per_class(rows: DataFrame, label: str, per_class: int, seed: str) -> DataFrame:
     """`per_class` rows of each label, those whose ids have the lowest hashes.
 
-    `rows` has doc_id and the label only. Ranks above the limit are dropped on every task
-    before the shuffle, so that a common label is no hot key.
+    `rows` has doc_id and the label only. Of each label only hashes below a bound are ranked,
+    chosen from its count so that about twice as many rows as wanted are left, however
+    common the label is.
     """
     drawn = rows.withColumn(
         "_draw", hex_number(F.concat(F.col("doc_id").cast("string"), F.lit(f"/{seed}")))
     )
+    totals = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows"))
+    if fits_broadcast(totals):
+        bound = F.lit(SCALE * (2 * per_class + 200)) / F.col("_rows")
+        drawn = drawn.join(F.broadcast(totals), label).filter(F.col("_draw") < bound).drop("_rows")
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", "doc_id"))
-    return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).drop("_draw", "_rank")
+    return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).select("doc_id", label)
