@@ -14,6 +14,9 @@ Equal strings of `LENGTH` bytes are found in four steps.
    dropped, and the expansion stops at LENGTH. What is left are the classes of equal windows.
 4. In each class all but the earliest window are removed, as byte ranges of their documents.
 
+A name with more different text than NAME_BYTES is not indexed. Its windows become rows, which
+Spark groups by their digests: no task holds such a name, and nothing of it is left out.
+
 "Earlier" is a smaller doc_id, or an earlier start in the same document. Matches never cross
 documents and are judged on the input.
 
@@ -41,6 +44,7 @@ LENGTH = 100
 ROUTE_BYTES = 32
 BATCH_BYTES = 16 << 20
 INDEX_BYTES = 1 << 19
+NAME_BYTES = 32 << 20
 MOST_WINDOWS = 4096  # of a run; longer ones are cut
 LAST_ID = 2**63 - 1
 
@@ -402,7 +406,9 @@ def index_runs(runs: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
     return list(zip(run[heads].tolist(), offset[heads].tolist(), offset[tails].tolist()))
 
 
-_RANGES = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+_RANGES = pa.schema(
+    [("doc", pa.int64()), ("tie", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("window", pa.binary())]
+)
 
 
 class Index:
@@ -423,7 +429,7 @@ class Index:
             self.at += earliest.values()
             self.size += sum(map(len, earliest))
 
-    def ranges(self) -> list[tuple[int, int, int, int]]:
+    def ranges(self) -> list[tuple[int, int, int, int, None]]:
         if not self.runs:
             return []
         docs = sorted({(d, t) for d, t, _ in self.at})
@@ -432,38 +438,62 @@ class Index:
         starts = np.array([s for _, _, s in self.at])
         found = index_runs(self.runs, of_run, starts, self.length)
         at = self.at
-        out = [(at[r][0], at[r][1], at[r][2] + a, at[r][2] + b + self.length) for r, a, b in found]
+        out = [(at[r][0], at[r][1], at[r][2] + a, at[r][2] + b + self.length, None) for r, a, b in found]
         self.clear()
         return out
 
 
-def removed_ranges(asks: DataFrame, length: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Byte ranges (doc, tie, begin, end) that are to go; they may overlap."""
+def window_rows(run: bytes, place: tuple[int, int, int], length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    doc, tie, start = place
+    for k in range(len(run) - length + 1):
+        digest = hashlib.blake2b(run[k : k + length], digest_size=16).digest()
+        yield doc, tie, start + k, start + k + length, digest
+
+
+def removed_ranges(asks: DataFrame, length: int, index_bytes: int, name_bytes: int) -> DataFrame:
+    """Byte ranges (doc, tie, begin, end) that are to go, which may overlap; and, with a digest
+    in `window`, the windows of names that are too large to be indexed."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(length)
-        out: list[tuple[int, int, int, int]] = []
-        name, inner = None, False
+        out: list[tuple[int, int, int, int, bytes | None]] = []
+        name, inner, size, large = None, False, 0, False
         earliest: dict[bytes, tuple[int, int, int]] = {}
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("route", "doc", "tie", "packed", "run")]
             for route, doc, tie, packed, run in zip(*columns):
                 start = packed >> 16
                 if run is None:
-                    out.append((doc, tie, start, start + ((packed >> 4) & 0xFFF) + length))
+                    out.append((doc, tie, start, start + ((packed >> 4) & 0xFFF) + length, None))
                     continue
                 if route != name:
                     index.add_name(earliest, inner)
                     if index.size >= index_bytes:
                         out += index.ranges()
-                    name, inner, earliest = route, False, {}
+                    name, inner, size, large, earliest = route, False, 0, False, {}
                 inner |= bool(packed & 1)
                 place = (doc, tie, start)
+                if large:
+                    out.extend(window_rows(run, place, length))
+                    if len(out) >= ASK_ROWS:
+                        yield _batch(_RANGES, *map(list, zip(*out)))
+                        out = []
+                    continue
                 best = earliest.setdefault(run, place)
                 if best != place:
                     if place < best:
                         earliest[run], best, place = place, place, best
-                    out.append((*place, place[2] + len(run)))
+                    out.append((*place, place[2] + len(run), None))
+                    continue
+                size += len(run)
+                if size > name_bytes:
+                    large = True
+                    for known, where in earliest.items():
+                        out.extend(window_rows(known, where, length))
+                        if len(out) >= ASK_ROWS:
+                            yield _batch(_RANGES, *map(list, zip(*out)))
+                            out = []
+                    inner, earliest = False, {}
             if len(out) >= ASK_ROWS:
                 yield _batch(_RANGES, *map(list, zip(*out)))
                 out = []
@@ -473,15 +503,28 @@ def removed_ranges(asks: DataFrame, length: int, index_bytes: int = INDEX_BYTES)
             yield _batch(_RANGES, *map(list, zip(*out)))
 
     dealt = asks.repartition("route").sortWithinPartitions("route")
-    return dealt.mapInArrow(search, "doc long, tie long, begin long, end long")
+    return dealt.mapInArrow(search, "doc long, tie long, begin long, end long, window binary")
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """The ranges of all windows but the earliest of each digest."""
+    place = F.struct("doc", "tie", "begin")
+    first = windows.groupBy("window").agg(F.min(place).alias("first"))
+    return windows.join(first, "window").filter(place > F.col("first")).select("doc", "tie", "begin", "end")
 
 
-def find_repeats(keyed: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def find_repeats(
+    keyed: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES, name_bytes: int = NAME_BYTES
+) -> DataFrame:
     """Written byte ranges to remove from the rows of `_keyed`."""
     copies = whole_copies(keyed, length)
     runs = repeated_runs(window_runs(keyed, length))
     asks = run_texts(compressed(keyed, carry=False), runs, copies, length)
-    ranges = settle(removed_ranges(asks, length, index_bytes))
+    found = settle(removed_ranges(asks, length, index_bytes, name_bytes))
+    ranges = found.filter("window is null").drop("window")
+    windows = found.filter("window is not null")
+    if not windows.isEmpty():
+        ranges = ranges.unionByName(later_windows(windows))
     whole = copies.select("doc", "tie", F.lit(0).cast("long").alias("begin"), F.col("size").alias("end"))
     return ranges.unionByName(whole)
 
@@ -512,9 +555,9 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join(left).decode()
 
 
-def _finish(keyed: DataFrame, length: int, with_text: bool) -> DataFrame:
+def _finish(keyed: DataFrame, length: int, with_text: bool, **bounds: int) -> DataFrame:
     texts = compressed(keyed, carry=True)
-    ranges = find_repeats(keyed, length)
+    ranges = find_repeats(keyed, length, **bounds)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[tuple[int, bytes, list[tuple[int, int]]]] = []
@@ -565,9 +608,9 @@ def _result(rows: list, groups: list, with_text: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def dedup_digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup_digests(documents: DataFrame, length: int = LENGTH, **bounds: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    found = _finish(_keyed(documents.select("doc_id", "text")), length, with_text=False)
+    found = _finish(_keyed(documents.select("doc_id", "text")), length, with_text=False, **bounds)
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -92,11 +92,18 @@ def test_index_equals_brute_force():
                 assert (mask == want).all()
 
 
-def test_small_index_and_long_runs(spark, monkeypatch):
+@pytest.mark.parametrize("name_bytes", [1, 150, 1000])
+def test_large_names_go_by_windows(prose, name_bytes):
+    rows = [(r["doc_id"], r["text"]) for r in prose.collect()]
+    want = sorted(((k[0], *v) for k, v in expected(rows, 40).items()), key=str)
+    assert found(repeats.dedup_digests(prose, 40, index_bytes=50, name_bytes=name_bytes)) == want
+
+
+@pytest.mark.parametrize("name_bytes", [repeats.NAME_BYTES, 5000])
+def test_small_index_and_long_runs(spark, name_bytes):
     """Many indexes in a task, periodic texts and cut runs give the same result."""
-    monkeypatch.setattr(repeats, "INDEX_BYTES", 50)
     rng = random.Random(5)
     texts = ["ab" * 3000, "a" * 9000, "xyz" + "ab" * 2500, "".join(rng.choices("ab", k=3000))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(((k[0], *v) for k, v in expected(list(enumerate(texts)), 30).items()), key=str)
-    assert found(repeats.dedup_digests(df, 30)) == want
+    assert found(repeats.dedup_digests(df, 30, index_bytes=50, name_bytes=name_bytes)) == want
