@@ -73,14 +73,16 @@ def groups_without_rare_fuels(groups: DataFrame, n: int = 2, rows: str = "n_rows
     """Groups, each of one fuel and with its number of rows, but those of the `n` rarest.
 
     The same as dropping the fuels before grouping, with one pass over the observations:
-    the groups carry what the ranking needs. Equal counts are ranked by name. The groups
-    are ranked by their own totals, so a fuel is no window of its own.
+    the groups carry what the ranking needs, and a fuel carries its groups. Meant for groups
+    bounded by the calendar (days or weeks of a fuel), which then are a small table. Equal
+    counts are ranked by name.
     """
-    named = groups.filter(F.col("name").isNotNull())
-    totals = named.groupBy("name").agg(F.sum(rows).alias("_total"))
-    place = F.row_number().over(Window.orderBy("_total", "name"))  # one row per fuel
-    kept = totals.withColumn("_place", place).filter(F.col("_place") > n).select("name")
-    return named.join(kept, "name", "left_semi").select(*groups.columns)
+    others = [c for c in groups.columns if c != "name"]
+    fuels = groups.filter(F.col("name").isNotNull()).groupBy("name")
+    fuels = fuels.agg(F.sum(rows).alias("_total"), F.collect_list(F.struct(*others)).alias("_groups"))
+    place = F.row_number().over(Window.orderBy("_total", "name"))
+    kept = fuels.withColumn("_place", place).filter(F.col("_place") > n)
+    return kept.select("name", F.explode("_groups").alias("_g")).select("name", "_g.*").select(*groups.columns)
 
 
 def filter_fuel(df: DataFrame, name: str) -> DataFrame:
