@@ -28,7 +28,6 @@ texts under one id are ordered by their checksum. An empty table gives an empty
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
