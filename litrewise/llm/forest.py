@@ -14,7 +14,9 @@ All pairs of a group are compared, also those that no trie has brought together.
 Rows: a text with fewer than five words has one shingle of all its words; null, empty and
 wordless texts have none and are linked to nothing, not to each other. Case, punctuation and
 spacing do not matter. Rows are documents: repeated rows are copies of each other. A null
-doc_id is kept; a class is named by its smallest non-null doc_id. Empty table: empty result.
+doc_id is kept; a class is named by its smallest non-null doc_id, and has a null name if none of
+its documents has an id. Documents with one doc_id, or none, are told apart by a 128-bit digest of
+their texts. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -121,31 +123,43 @@ def _tie(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
 
 
+def _digest(text: str | None) -> bytes:
+    """128 bits; `_text_digest` has the same for a column."""
+    return hashlib.sha256((text or "").encode()).digest()[:16]
+
+
+def _text_digest() -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def signed(documents: DataFrame, length: int) -> DataFrame:
-    """doc_id, tie, node (a digest of the shingle set; null for none), n_shingles and keys."""
+    """doc_id, tie, digest, node (a digest of the shingle set; null for none), n_shingles and keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            ties, nodes, counts, keys = [], [], [], []
+            ties, digests, nodes, counts, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, hashes)
-                ties.append(_tie(text)), counts.append(len(found))
+                ties.append(_tie(text)), digests.append(_digest(text)), counts.append(len(found))
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 keys.append(prefix_keys(signature(found), length).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(ties, pa.int64()),
+                    pa.array(digests, pa.binary()),
                     pa.array(nodes, pa.binary()),
                     pa.array(counts, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "tie", "node", "n_shingles", "keys"],
+                names=["doc_id", "tie", "digest", "node", "n_shingles", "keys"],
             )
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(sign, "doc_id long, tie long, node binary, n_shingles long, keys array<long>")
+    return narrow.mapInArrow(
+        sign, "doc_id long, tie long, digest binary, node binary, n_shingles long, keys array<long>"
+    )
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
@@ -268,13 +282,13 @@ def _blobs(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array([_tie(t) for t in texts], pa.int64()),
+                    pa.array([_digest(t) for t in texts], pa.binary()),
                     pa.array([press.compress((t or "").encode()) for t in texts], pa.binary()),
                 ],
-                names=["id", "tie", "blob"],
+                names=["id", "digest", "blob"],
             )
 
-    return documents.select(_id().alias("id"), "text").mapInArrow(squeeze, "id long, tie long, blob binary")
+    return documents.select(_id().alias("id"), "text").mapInArrow(squeeze, "id long, digest binary, blob binary")
 
 
 def blocks_of(nodes: DataFrame, groups: DataFrame, block_shingles: int) -> DataFrame:
@@ -287,57 +301,68 @@ def blocks_of(nodes: DataFrame, groups: DataFrame, block_shingles: int) -> DataF
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int")
     placed = placed.withColumn("block", block)
     return placed.select(
-        "node", _id().alias("id"), "tie", "copies", "group", "block",
+        "node", _id().alias("id"), "digest", "copies", "group", "block",
         F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"),
     ).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
-def join_documents(documents: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, tie (checksum of the text), class_id, n_links and n_copies of every row.
+def _name() -> Column:
+    """The smallest of some documents: any id comes before none, and texts go by digest."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest"))
 
-    class_id is the smallest doc_id of the documents that links connect; n_links counts the
-    other rows that are as similar as the threshold, equal ones included; n_copies counts the
-    rows with the same shingles, itself included.
-    """
+
+def named_documents(documents: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """What `join_documents` has, and digest and `names`: whether the class has its name from
+    this doc_id with this text (as all rows that are linked with nothing have)."""
     rows = settle(signed(documents, prefix_length()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tie"))
     nodes = rows.filter("node is not null").groupBy("node").agg(
-        first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles")
+        _name().alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles")
     )
-    nodes = settle(nodes.select("node", "first.doc_id", "first.tie", "copies", "keys", "n_shingles"))
+    nodes = settle(nodes.select("node", "first.doc_id", "first.digest", "copies", "keys", "n_shingles"))
     groups = candidate_groups(nodes)
     units = blocks_of(nodes.drop("keys"), groups, block_shingles)
-    found = settle(verify(units.join(_blobs(documents), ["id", "tie"])))
+    found = settle(verify(units.join(_blobs(documents), ["id", "digest"])))
     linked = found.groupBy("node").agg(F.sum("n_links").alias("others"))
     roots = components(found.filter("head is not null").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    known = nodes.select("node", "doc_id", "copies").join(linked, "node", "left").join(roots, "node", "left")
+    known = nodes.select("node", "doc_id", "digest", "copies").join(linked, "node", "left").join(roots, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
-    names = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    names = known.groupBy("root").agg(_name().alias("name"))
     known = known.join(names, "root").select(
-        "node", "class_id", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")
+        "node", "name", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
-    return rows.select("doc_id", "tie", "node").join(known, "node", "left").select(
+    names_it = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("digest") == F.col("name.digest"))
+    return rows.select("doc_id", "tie", "digest", "node").join(known, "node", "left").select(
         "doc_id",
         "tie",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        "digest",
+        F.coalesce("name.doc_id", "doc_id").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        (F.col("name").isNull() | names_it).alias("names"),
     )
 
 
+def join_documents(documents: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, tie (checksum of the text), class_id, n_links and n_copies of every row.
+
+    class_id is the smallest doc_id of the documents that links connect; n_links counts the
+    other rows that are as similar as the threshold, equal ones included; n_copies counts the
+    rows with the same shingles, itself included.
+    """
+    return named_documents(documents, block_shingles).drop("digest", "names")
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each class: a row that names it. Columns as given."""
-    joined = join_documents(documents)
-    goes = F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id"))
-    dropped = joined.filter("n_links > 0").filter(goes).select(_id().alias("_id"), F.col("tie").alias("_tie"))
+    key = ["_missing", "_id", "_digest"]
+    missing = F.col("doc_id").cast("long").isNull().alias("_missing")
+    linked = named_documents(documents).filter("n_links > 0")
+    linked = linked.select(missing, _id().alias("_id"), F.col("digest").alias("_digest"), F.col("names").alias("_names"))
     keyed = documents.select(
-        F.struct(*documents.columns).alias("_row"),
-        _id().alias("_id"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_tie"),
-        (F.coalesce(F.char_length("text"), F.lit(0)) == 0).alias("_empty"),
+        F.struct(*documents.columns).alias("_row"), missing, _id().alias("_id"), _text_digest().alias("_digest")
     )
-    kept = keyed.join(dropped.distinct(), ["_id", "_tie"], "left_anti")
-    # Repeated rows of a naming document are copies as well.
-    turn = F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("_id"))
-    first = kept.withColumn("_turn", turn).filter(F.col("_empty") | (F.col("_turn") == 1))
+    kept = keyed.join(linked.distinct(), key, "left").filter(F.coalesce("_names", F.lit(True)))
+    # Repeated rows of a naming document are copies as well; what is linked with nothing stays.
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("_id"))
+    first = kept.withColumn("_turn", turn).filter(F.col("_names").isNull() | (F.col("_turn") == 1))
     return first.select("_row.*")

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from litrewise.llm import components, forest
+from tests.llm import helpers
 
 
 def brute_force(rows):
@@ -57,6 +59,40 @@ def test_one_of_each_class_stays(prose, odd, empty):
     assert forest.keep_one(empty).count() == 0
 
 
+def kept_of(spark, rows):
+    docs = spark.createDataFrame([helpers.row(*r) for r in rows], helpers.SCHEMA).repartition(3)
+    return sorted(((r["doc_id"], r["text"]) for r in forest.keep_one(docs).collect()), key=str)
+
+
+def near_texts(seed):
+    words = helpers.words(random.Random(seed), 120)
+    return " ".join(words), " ".join([*words[:-1], "changed"]), " ".join([*words[:-1], "moved"])
+
+
+def test_one_of_a_class_without_ids_stays(spark):
+    (a, b, c), (d, e, _) = near_texts(1), near_texts(2)
+    kept = kept_of(spark, [(None, a), (None, b), (None, c), (None, d), (None, d), (3, e)])
+    assert [t for i, t in kept if i is None] in ([a], [b], [c])
+    assert [(i, t) for i, t in kept if i is not None] == [(3, e)]
+    assert kept_of(spark, [(None, a), (None, a), (None, a.upper())]) in ([(None, a)], [(None, a.upper())])
+
+
+def test_one_of_near_texts_under_one_id_stays(spark):
+    a, b, c = near_texts(3)
+    kept = kept_of(spark, [(7, a), (7, a), (7, b), (9, c), (7, "another text of the same id")])
+    assert len(kept) == 2 and (7, "another text of the same id") in kept
+    assert {(7, a), (7, b)} & set(kept)
+
+
+def test_rows_linked_with_nothing_stay(spark):
+    # The two words have the same crc32.
+    rows = [(None, "plumless"), (None, "buckeroo"), (None, "?!"), (None, "?!"), (None, None), (None, "")]
+    assert kept_of(spark, rows) == sorted(rows, key=str)
+    # The largest id is not that of rows without one.
+    a, b, _ = near_texts(4)
+    assert kept_of(spark, [(2**63 - 1, a), (None, a), (None, b)]) == [(2**63 - 1, a)]
+
+
 def test_prefix_is_shortened_to_the_target():
     assert forest.prefix_length(0.8, trees=16, longest=6, target=0.999) == 4
     assert forest.prefix_length(0.8, trees=16, longest=6, target=0.9999) == 3
