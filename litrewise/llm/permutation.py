@@ -3,7 +3,8 @@
 A vector is represented by the order in which a few hundred pivots are near to it. It is posted
 in the inverted files of its POSTINGS nearest pivots; a query reads the files of its own nearest
 pivots, ranks what it finds by the footrule distance of the two orders (the sum of how far each
-pivot is moved), and reranks the best share of it by the exact measure on the vectors.
+pivot is moved), and reranks the best share of it, and all as near by footrule as the last of that
+share, by the exact measure on the vectors.
 
 Pivots are chosen from a bounded sample; every vector is indexed. The index is cut into shards
 and the queries into blocks, each pair of which is a task's group with its own inverted files,
@@ -148,11 +149,12 @@ class Shard:
             return entries
         moved = np.abs(self.places[entries].astype(np.int16) - places.astype(np.int16))
         footrule = moved.sum(axis=1, dtype=np.int32)
-        return entries[np.argpartition(footrule, wanted - 1)[:wanted]]
+        return entries[footrule <= np.partition(footrule, wanted - 1)[wanted - 1]]
 
     def search(self, vec_id: int, vector: np.ndarray, places: np.ndarray) -> list[tuple[int, float]]:
         entries = self.candidates(places)
-        cosines = (self.vectors[entries] @ vector) / (self.norms[entries] * np.sqrt((vector * vector).sum()))
+        # Summed by row, so that parallel vectors tie wherever they are in the matrix.
+        cosines = (self.vectors[entries] * vector).sum(axis=1) / (self.norms[entries] * np.sqrt((vector * vector).sum()))
         best: list[tuple[float, int]] = []
         # Entries with as large a cosine as the last that is needed take part, for ties.
         wanted = min(len(cosines), NEAREST + 1)

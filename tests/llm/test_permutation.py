@@ -55,6 +55,28 @@ def test_copies_and_ties(spark):
     assert [i for i, _ in got[150]] == [0, 3, 6, 9, 12]
 
 
+def test_vectors_with_one_pivot_order_are_all_reranked():
+    """A third of a shard are scaled copies of one vector, and a third are moved very slightly."""
+    rng = np.random.default_rng(7)
+    pivots = rng.standard_normal((64, 16))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    common, other = rng.standard_normal(16), rng.standard_normal(16)
+    n = 2400
+    matrix = rng.standard_normal((n, 16))
+    ids = rng.permutation(n)
+    matrix[:800] = common * 2.0 ** rng.permutation(800)[:, None].astype(float) * 2.0**-400
+    matrix[800:1600] = other + 1e-9 * rng.standard_normal((800, 16))
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    places = permutation.pivot_places(unit, pivots)
+    shard = permutation.Shard(ids, [v.tobytes() for v in matrix], [p.tobytes() for p in places])
+    assert max(permutation.LEAST_RERANKED, permutation.RERANKED_SHARE * n) < 800
+    for k in (0, 5, 400):
+        got = [i for i, _ in shard.search(int(ids[k]), matrix[k], places[k])]
+        assert got == sorted(int(i) for i in ids[:800] if i != ids[k])[:5]
+    for k in (800, 1000, 1500):
+        assert set(range(800, 1600)) <= {int(i) for e in shard.candidates(places[k]) for i in np.flatnonzero(ids == shard.ids[e][0])}
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (2, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (50, [2.0, 0.0], 0),
