@@ -3,8 +3,10 @@
 A text is the set of its five-word shingles; equal sets are one node from the start. Every
 node has a signature of minimum hashes in each of TREES prefix tries. Nodes are candidates if
 their signatures share a prefix in any trie. The prefix starts at its full length and is
-shortened until two sets as similar as the threshold meet with the target probability; then
-candidates are verified on their whole sets.
+shortened until two sets as similar as the threshold meet with the target probability. That
+follows from the threshold alone, so one depth holds for all nodes and the tries reduce to bands:
+they are neither sorted nor walked, and no value below that depth is used. Then candidates are
+verified on their whole sets.
 
 Verification goes by groups of nodes that candidates connect. A group is cut into blocks of
 bounded size, each pair of blocks is a task of its own, and a task counts common shingles with
