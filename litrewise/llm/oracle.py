@@ -66,6 +66,62 @@ from numbered n left join cuts c on n.source is not distinct from c.source
 
 
 
+# The checksum of a byte string, bit by bit: a table of 256 remainders, then one step a byte.
+CRC_TABLE = """
+table_ as (
+    select list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned checksum of the UTF-8 bytes of `text`; `t` is the column of CRC_TABLE."""
+    digits = f"hex(encode({text}))"
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+        list_transform(range(length({digits}) // 2), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::bigint)),
+        lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)))::bigint"""
+
+
+# Places that equal the one a period further, joined into maximal stretches for each period.
+RUNS = f"""
+with {CRC_TABLE.strip()},
+split as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
+           case when doc_id is not null then {_crc32("doc_id::varchar")} end as h
+    from documents, table_),
+chosen as (
+    select *, len(words) as n, (h // 10) % len(words) as a,
+           1 + (len(words) - (h // 10) % len(words)) // (3 + (h // 10) % 8) as p
+    from split),
+texts as (
+    select r, doc_id, n, case when h % 10 = 0 and n > 0
+        then list_transform(range(n), lambda i: words[case when i < a then i else a + (i - a) % p end + 1])
+        else words end as words
+    from chosen),
+placed as (select r, n, unnest(range(n)) as i, unnest(words) as word from texts),
+equal_places as (
+    select x.r, y.i - x.i as p, x.i
+    from placed x join placed y on x.r = y.r and x.word = y.word and y.i > x.i and y.i - x.i <= x.n // 4),
+joined as (select *, i - row_number() over (partition by r, p order by i) as stretch from equal_places),
+stretches as (
+    select r, p, min(i) as start, count(*) + p as length from joined group by r, p, stretch
+    having count(*) + p >= greatest(6, 4 * p)),
+runs as (select r, start, length, min(p) as period from stretches group by r, start, length),
+listed as (
+    select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+    from runs group by r),
+best as (
+    select * from runs
+    qualify row_number() over (partition by r order by length::double / period desc, start, period) = 1),
+dropped as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+    select r, string_agg(word, ' ' order by i) as collapsed
+    from placed anti join dropped using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length,
+       period::bigint as period, (1000 * length // period)::bigint as exponent_milli,
+       sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from texts left join listed using (r) left join best using (r) left join kept using (r)"""
+
+
 def _draw(key: str, name: str, weight: float) -> str:
     number = f"('0x' || substr(md5({key} || '/{name}'), 1, 13))::bigint::double"
     return f"-ln(({number} + 0.5) / 4503599627370496.0) / {weight}::double"
@@ -106,4 +162,4 @@ from placed"""
 
 
 def statements() -> dict[str, str]:
-    return {"op5_source_mix": SOURCE_MIX, "op9_sharding": sharding()}
+    return {"op5_source_mix": SOURCE_MIX, "op9_sharding": sharding(), "op11_runs": RUNS}

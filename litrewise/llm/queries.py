@@ -89,3 +89,10 @@ def op8_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litrewise.llm.permutation import nearest_neighbours
 
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
