@@ -122,6 +122,132 @@ select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, le
 from texts left join listed using (r) left join best using (r) left join kept using (r)"""
 
 
+# A base32 character for every five bits: four of them for each five digits of the checksum.
+BASE32 = """
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(digest, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::bigint + 1, 1)), '')"""
+
+WARC = f"""
+with rested as (
+    select row_number() over () as r, page_id, strlen(coalesce(html, ''))::bigint as payload_bytes,
+           sha1(coalesce(html, '')) as digest,
+           regexp_replace(regexp_replace(coalesce(url, ''), '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest,
+           url, 1600000000 + coalesce(((page_id % 100000000) + 100000000) % 100000000, 0) as captured
+    from pages),
+hosts as (
+    select *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\\.', '') as host,
+           regexp_replace(rest, '^[^/?]*', '') as path
+    from rested),
+keyed as (
+    select *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')'
+              || case when path = '' then '/' else path end as url_key,
+           {BASE32} as payload_digest,
+           row_number() over (partition by digest order by page_id desc nulls last, url desc nulls last, r) as place,
+           max(page_id) over (partition by digest) as largest
+    from hosts),
+typed as (select *, case when place = 1 then 'response' else 'revisit' end as record_type from keyed)
+select page_id, payload_bytes, payload_digest, record_type, case when place > 1 then largest end as refers_to, url_key,
+       row_number() over (partition by url_key order by captured, page_id nulls first, payload_digest, record_type) as capture
+from typed"""
+
+
+def _repair_edits(costs: str) -> dict[tuple[int, str], tuple[str, int]]:
+    """SQL for the cost of each edit from each state, by the costs `{costs}0..3` that follow it.
+    States: nothing given yet, s, a, u last."""
+    extra = "case when is_cut then 3 else 0 end"
+    following = (3, 3, 3, 2)
+    kept = {0: [("s", 1), ("u", 3)], 1: [("u", 3)], 2: [("u", 3)], 3: [("a", 2)]}
+    edits = {}
+    for q in range(4):
+        edits[q, "D"] = (f"4 + {costs}{q}", q)
+        keep = " ".join(f"when initial = '{i}' then {costs}{to}" for i, to in kept[q])
+        edits[q, "K"] = (f"case when must_go then 1000000000 else (case {keep} else 1000000000 end) + {extra} end", -1)
+        edits[q, "R"] = (f"case when must_go then 1000000000 else 3 + {extra} + {costs}{following[q]} end", following[q])
+    return edits
+
+
+def conversations() -> str:
+    """Costs from each row to the end by recursion, then the first letter that keeps to them."""
+    edits = _repair_edits("n.c")
+    least = [f"least({', '.join(edits[q, e][0] for e in 'DKR')})" for q in range(4)]
+    walk = _repair_edits("a.c")
+    value = "(case state when 0 then b.c0 when 1 then b.c1 when 2 then b.c2 else b.c3 end)"
+    chosen = []
+    for q in range(4):
+        insert = f"3 + b.c{(3, 3, 3, 2)[q]}"
+        options = [("D", walk[q, "D"][0]), ("I", insert), ("K", walk[q, "K"][0]), ("R", walk[q, "R"][0])]
+        tests = " ".join(f"when {cost} = b.c{q} then '{letter}'" for letter, cost in options)
+        chosen.append(f"when {q} then (case {tests} end)")
+    return f"""
+with recursive {CRC_TABLE.strip()},
+summed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+           {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fault
+    from conversations, table_),
+damaged as (
+    select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+           case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+           unnest(range(case when fault = 3 then 2 else 1 end)) as copy
+    from summed where fault <> 0),
+numbered as (
+    select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed,
+           row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i,
+           row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as seen
+    from damaged),
+flagged as (
+    select conv_id, turn, role, text, i, substr(role, 1, 1) as initial, trimmed = '' as is_blank,
+           trimmed <> '' and seen as is_duplicate,
+           trimmed <> '' and not seen and right(trimmed, 1) not in ('.', '!', '?') as is_cut,
+           trimmed = '' or seen as must_go
+    from numbered),
+lasts as (select conv_id, max(i) as n from flagged group by conv_id),
+-- The costs before row i are those of place i; place n + 1 is the end.
+costs as (
+    select conv_id, n + 1 as i, 0 as c0, 6 as c1, 0 as c2, 3 as c3 from lasts
+    union all
+    select conv_id, i, least(w0, 3 + e3) as c0, least(w1, 3 + e3) as c1, e2 as c2, e3 as c3
+    from (select *, least(w2, 3 + w3) as e2, least(w3, 3 + w2) as e3
+          from (select f.conv_id, f.i, {", ".join(f"{c} as w{q}" for q, c in enumerate(least))}
+                from costs n join flagged f on f.conv_id is not distinct from n.conv_id and f.i = n.i - 1))),
+walk as (
+    select conv_id, 1::bigint as i, 0 as state, '' as audit, '' as repaired, 0 as given from lasts
+    union all
+    select conv_id, case when letter = 'I' then i else i + 1 end,
+           case letter when 'D' then state when 'K' then case initial when 's' then 1 when 'u' then 3 else 2 end
+                else case when state = 3 then 2 else 3 end end,
+           audit || letter,
+           case letter when 'D' then repaired
+                else repaired || case when given > 0 then chr(10) else '' end
+                     || case letter when 'K' then role else case when state = 3 then 'assistant' else 'user' end end
+                     || ':' || case letter when 'I' then '' else text end end,
+           case letter when 'D' then given else given + 1 end
+    from (select w.*, f.initial, f.role, f.text,
+                 case when f.i is null then 'I' else case state {" ".join(chosen)} end end as letter
+          from walk w
+          join lasts l on l.conv_id is not distinct from w.conv_id
+          left join flagged f on f.conv_id is not distinct from w.conv_id and f.i = w.i
+          left join costs b on b.conv_id is not distinct from w.conv_id and b.i = w.i
+          left join costs a on a.conv_id is not distinct from w.conv_id and a.i = w.i + 1
+          where w.i <= l.n or (w.i = l.n + 1 and state in (1, 3)))),
+repaired as (
+    select w.conv_id, w.audit, w.repaired from walk w join lasts l on l.conv_id is not distinct from w.conv_id
+    where w.i = l.n + 1 and w.state in (0, 2)),
+counted as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+           count(*) filter (where is_blank) as blank, count(*) filter (where is_duplicate) as duplicate,
+           count(*) filter (where is_cut) as truncated,
+           count(*) filter (where before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+    from (select *, lag(initial) over (partition by conv_id order by i) as before from flagged) group by conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+       coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(c.c0, 0)::bigint as cost,
+       coalesce(r.audit, '') as audit, sha256(coalesce(r.repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted on counted.conv_id is not distinct from o.conv_id
+left join costs c on c.conv_id is not distinct from o.conv_id and c.i = 1
+left join repaired r on r.conv_id is not distinct from o.conv_id"""
+
+
 def _draw(key: str, name: str, weight: float) -> str:
     number = f"('0x' || substr(md5({key} || '/{name}'), 1, 13))::bigint::double"
     return f"-ln(({number} + 0.5) / 4503599627370496.0) / {weight}::double"
@@ -162,4 +288,4 @@ from placed"""
 
 
 def statements() -> dict[str, str]:
-    return {"op5_source_mix": SOURCE_MIX, "op9_sharding": sharding(), "op11_runs": RUNS}
+    return {"op5_source_mix": SOURCE_MIX, "op9_sharding": sharding(), "op11_runs": RUNS, "op12_warc": WARC, "op13_conversations": conversations()}

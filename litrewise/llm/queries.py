@@ -96,3 +96,17 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litrewise.llm.runs import run_digests
 
     return run_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litrewise.llm.conversations import repair_digests
+
+    return repair_digests(table(spark, sf_dir, "conversations"))
