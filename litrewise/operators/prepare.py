@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,17 +72,15 @@ def without_fuels(df: DataFrame, fuels: DataFrame | Sequence[str], *, salts: int
 def groups_without_rare_fuels(groups: DataFrame, n: int = 2, rows: str = "n_rows") -> DataFrame:
     """Groups, each of one fuel and with its number of rows, but those of the `n` rarest.
 
-    The same as dropping the fuels before grouping, with one pass over the observations:
-    the groups carry what the ranking needs, and a fuel carries its groups. Meant for groups
-    bounded by the calendar (days or weeks of a fuel), which then are a small table. Equal
-    counts are ranked by name.
+    The same as dropping the fuels before grouping, as the groups carry what the ranking needs.
+    Only the total of each fuel is ranked, as a top-n, and `n` names at most are broadcast.
+    Equal counts are ranked by name. Both steps read `groups`: settle them first, and the
+    observations are read once.
     """
-    others = [c for c in groups.columns if c != "name"]
-    fuels = groups.filter(F.col("name").isNotNull()).groupBy("name")
-    fuels = fuels.agg(F.sum(rows).alias("_total"), F.collect_list(F.struct(*others)).alias("_groups"))
-    place = F.row_number().over(Window.orderBy("_total", "name"))
-    kept = fuels.withColumn("_place", place).filter(F.col("_place") > n)
-    return kept.select("name", F.explode("_groups").alias("_g")).select("name", "_g.*").select(*groups.columns)
+    named = groups.filter(F.col("name").isNotNull())
+    totals = named.groupBy("name").agg(F.sum(rows).alias("_total"))
+    rarest = totals.orderBy("_total", "name").limit(n).select("name")
+    return named.join(F.broadcast(rarest), "name", "left_anti").select(*groups.columns)
 
 
 def filter_fuel(df: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +30,17 @@ def weekly_average(df: DataFrame) -> DataFrame:
     return average_by(df, keys, "prix", "avg_weekly_price").orderBy(*keys)
 
 
+Step = Callable[[DataFrame], DataFrame]
+
+
 def average_without_rare_fuels(
-    df: DataFrame, keys: Sequence[str], value: str, alias: str, n: int = 2
+    df: DataFrame, keys: Sequence[str], value: str, alias: str, n: int = 2, *, settle: Step | None = None
 ) -> DataFrame:
-    """`average_by` without the `n` rarest fuels, in one pass: groups are made first and
-    dropped by the row counts they carry. `keys` must hold `name`."""
+    """`average_by` without the `n` rarest fuels: groups are made first and dropped by the row
+    counts they carry. `keys` must hold `name`. With `settle` (as that of `placement`) the groups
+    are written once, so that the observations are read once."""
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(value).alias(alias))
-    return groups_without_rare_fuels(groups, n).select(*keys, alias)
+    return groups_without_rare_fuels(settle(groups) if settle else groups, n).select(*keys, alias)
 
 
 def daily_average(df: DataFrame) -> DataFrame:
@@ -89,10 +93,12 @@ def filter_options(df: DataFrame) -> DataFrame:
     return _options(df.select("year", "name").distinct())
 
 
-def filter_options_without_rare_fuels(df: DataFrame, n: int = 2) -> DataFrame:
-    """`filter_options` without the `n` rarest fuels, in one pass."""
+def filter_options_without_rare_fuels(
+    df: DataFrame, n: int = 2, *, settle: Step | None = None
+) -> DataFrame:
+    """`filter_options` without the `n` rarest fuels; `settle` as in `average_without_rare_fuels`."""
     groups = df.groupBy("year", "name").agg(F.count(F.lit(1)).alias("n_rows"))
-    return _options(groups_without_rare_fuels(groups, n))
+    return _options(groups_without_rare_fuels(settle(groups) if settle else groups, n))
 
 
 def _options(pairs: DataFrame) -> DataFrame:

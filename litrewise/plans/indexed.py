@@ -48,8 +48,14 @@ def survey(prepared: DataFrame) -> Survey:
     return Survey(daily, both.filter("per_day = 0").select(*SERIES, "n_rows"))
 
 
+def survey_days(prepared: DataFrame) -> DataFrame:
+    """Rows and average price per day and fuel, written once: all that the indices need."""
+    daily = prepared.groupBy(*DAY_AND_FUEL).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("prix").alias(AVERAGE))
+    return settle(daily)
+
+
 def rare_fuels(sizes: DataFrame, n: int) -> DataFrame | list[str]:
-    """The `n` rarest fuels by the rows of their series: names for a filter, if they are few."""
+    """The `n` rarest fuels by the rows of their groups: names for a filter, if they are few."""
     totals = sizes.filter(F.col("name").isNotNull()).groupBy("name").agg(F.sum("n_rows").alias("n_rows"))
     rarest = totals.orderBy("n_rows", "name").limit(n).select("name")
     return [r["name"] for r in rarest.collect()] if n <= MAX_NAMED_FUELS else settle(rarest)
@@ -89,15 +95,16 @@ def with_national_average(
 
 def index_surveyed(
     kept: DataFrame,
-    found: Survey,
+    daily: DataFrame,
     *,
     first_year: int,
     digits: int | None = 2,
     iso: bool = False,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add national average, price and week index to surveyed observations."""
-    averages = found.daily.select(*DAY_AND_FUEL, AVERAGE)
+    """Add national average, price and week index to observations, from their settled daily
+    averages."""
+    averages = daily.select(*DAY_AND_FUEL, AVERAGE)
     small = fits_broadcast(averages, max_broadcast_bytes)
     joined = attach_per_day(kept, averages, "inner", broadcast=small)
     return add_week_index(add_price_index(joined, digits=digits), first_year, iso=iso)
@@ -117,7 +124,9 @@ def indexed_observations(
     Equal to composing the single operators, with two passes over the observations, which are
     never shuffled while the daily table is small enough to broadcast.
     """
-    kept, found = surveyed_observations(raw, drop_n=drop_n)
+    prepared = clean_prices(raw)
+    daily = survey_days(prepared)
+    kept = without_fuels(prepared, rare_fuels(daily, drop_n))
     return index_surveyed(
-        kept, found, first_year=first_year, digits=digits, iso=iso, max_broadcast_bytes=max_broadcast_bytes
+        kept, daily, first_year=first_year, digits=digits, iso=iso, max_broadcast_bytes=max_broadcast_bytes
     )
