@@ -264,6 +264,73 @@ SELECTS["model_rf_stump"] = f"""
               limit 1)
         where day_date >= {CUT}"""
 SELECTS["model_gbt_stump"] = SELECTS["model_rf_stump"]
+SELECTS["src_csv_rejects"] = """
+        select outcome, n_fields::int as n_fields, count(*) as n_lines, sum(checksum)::bigint as checksum
+        from (select case when n_fields < 9 then 'too_few_fields' when n_fields > 9 then 'too_many_fields'
+                          when l_orderkey % 61 = 0 then 'bad_value' else 'accepted' end as outcome, n_fields,
+                     case when n_fields = 9 and l_orderkey % 61 <> 0 then last::bigint else length(line) end as checksum
+              from (select *, length(line) - length(replace(line, ';', '')) + 1 as n_fields,
+                           case when l_orderkey % 53 = 0 then null else prix end as last
+                    from (select *, case when l_orderkey % 61 = 0 then 'x' else '' end
+                                 || concat_ws(';', id, cp, pop, lat, "long", "date", "type", name,
+                                              case when l_orderkey % 53 <> 0 then prix::bigint::varchar end,
+                                              case when l_orderkey % 59 = 0 then 'more' end) as line
+                          from gas_raw)))
+        group by 1, 2"""
+SELECTS["stage_incremental"] = """
+        select year, count(*) as n_rows, sum(prix) as total, year in (1996, 1998) as rewritten
+        from (select year, case when year = 1998 then prix + 100 else prix end as prix from cleaned where year <> 2001
+              union all select year, prix from cleaned where year = 1996 and l_orderkey % 50 = 0)
+        group by year"""
+SELECTS["station_context_stage"] = SELECTS["station_context"]
+KPIS = "count(*) as n_rows, coalesce(avg(prix), 0) as avg_price, count(distinct id) as n_stations from cleaned"
+SELECTS["kpis_cube"] = f"""
+        select 'all' as selection, {KPIS}
+        union all select 'none', {KPIS} where year in (1890) and name in ('ECONOMY', 'LARGE')
+        union all select 'one_fuel', {KPIS} where name = 'MEDIUM'
+        union all select 'two_years', {KPIS} where year in (1997, 1998) and name in ('ECONOMY', 'LARGE')"""
+# The tile of a place, level by level: the cell at zoom z is the one at zoom 10 without its last bits.
+SELECTS["heat_tiles"] = """
+        select name, zoom, tile, count(*) as n_rows, sum(hundredths)::double as total,
+               case when sum(hundredths)::double / count(*) > 9000
+                    then sum(hundredths)::double / count(*) - 9000 end as weight
+        from (select name, zoom::int as zoom, hundredths,
+                     list_sum(list_transform(range(zoom), lambda b: (((x >> (10 - zoom)) >> b) & 1) * (1 << (2 * b))
+                              + (((y >> (10 - zoom)) >> b) & 1) * (1 << (2 * b + 1))))::bigint as tile_or_none,
+                     coalesce(tile_or_none, 0) as tile
+              from (select name, round(price_index * 100)::bigint as hundredths,
+                           floor(("long" + 180) / 360 * 1024)::bigint as x, floor((lat + 90) / 180 * 1024)::bigint as y,
+                           unnest(range(0, 11)) as zoom
+                    from indexed where price_index is not null))
+        group by name, zoom, tile"""
+SELECTS["features_calendar"] = f"""
+        select {KEYS}, prix, avg(prix) over (w range between 1 preceding and 1 preceding) as price_1d_ago,
+               avg(prix) over (w range between 7 preceding and 7 preceding) as price_7d_ago,
+               avg(prix) over (w range between 7 preceding and 1 preceding) as avg_last_7d
+        from (select *, datediff('day', date '1990-01-01', day_date) as d from kept)
+        window w as (partition by id, name order by d)"""
+SELECTS["split_quantile_sketch"] = """
+        select form, quantile_disc(day_date, 0.8) as exact_cut, count(*) as n_rows, true as is_within
+        from forecast, (select unnest(['merged', 'whole']) as form) group by form"""
+CUT_DAYS = "['1998-03-01', '1999-09-01', '2000-06-01']"
+SELECTS["eval_by_cut"] = f"""
+        select c.cut, horizon, count(*) filter (where day_date < c.cut) as n_train, count(*) filter (where is_test) as n_test,
+               round(sqrt(avg(e * e) filter (where is_test)), 4) as rmse, round(avg(abs(e)) filter (where is_test), 4) as mae,
+               round(1 - sum(e * e) filter (where is_test)
+                         / (var_pop(prix) filter (where is_test) * count(*) filter (where is_test)), 4) as r2
+        from (select cut, horizon, day_date, prix, prix - prediction as e,
+                     day_date >= cut and (horizon = 'rest' or day_date < following) as is_test
+              from forecast,
+                   (select cut, coalesce(lead(cut) over (order by cut), date '9999-01-01') as following
+                    from (select unnest({CUT_DAYS})::date as cut)),
+                   (select unnest(['next', 'rest']) as horizon)) c
+        group by 1, 2"""
+SELECTS["model_lr_by_fuel"] = f"""
+        select {KEYS}, prix, round(a + b * price_lag_1, 2) as prediction
+        from forecast
+        join (select name, regr_slope(prix, price_lag_1) as b, regr_intercept(prix, price_lag_1) as a
+              from forecast where day_date < {CUT} group by name) using (name)
+        where day_date >= {CUT}"""
 SPELLED_PRICE = "case when l_orderkey % 89 = 0 or l_orderkey % 83 = 0 then null else prix end"
 SELECTS["not_a_number"] = f"""
         select {KEYS}, prix, price_lag_1, price_lag_7, rolling_avg_7

@@ -4,6 +4,7 @@ sample, a limit or one target fuel is the operator's own feature, that is what i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -12,22 +13,41 @@ from pyspark.sql import functions as F
 from checks.session import prepared
 from checks.tables import FIRST_YEAR, TIES, gas_raw
 from litrewise.functions import department
-from litrewise.operators import history, indices, metrics, prepare, reports, splits
+from litrewise.operators import (
+    calendar_history,
+    cubes,
+    folds,
+    history,
+    indices,
+    metrics,
+    prepare,
+    reports,
+    sketches,
+    splits,
+    tiles,
+)
 from litrewise.placement import settle, shared_folder
-from litrewise.plans import forecasting, indexed
+from litrewise.plans import forecasting, group_regression, indexed
 from litrewise.plans.history import with_history
 from litrewise.sources import (
     RAW_SCHEMA,
     materialize,
     read_price_files,
+    read_price_files_checked,
     read_stage,
+    refresh_stage,
     register_view,
+    stage_sketches,
+    write_clustered_stage,
+    write_sketched_stage,
     write_stage,
 )
+from litrewise.sources.incremental import FILE
 
 FUEL = "MEDIUM"
 OTHER_FUELS = ["ECONOMY", "LARGE"]
 CUT = "2000-06-01"
+CUTS = ["1998-03-01", "1999-09-01", CUT]
 ORDER = ["day_date", *TIES]
 KEYS = ["id", "name", "day_date", *TIES]
 
@@ -69,7 +89,7 @@ def with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weekly_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = indices.add_week_index(cleaned(spark, sf_dir), FIRST_YEAR)
     return reports.average_without_rare_fuels(
-        rows, ["week_index", "name"], "prix", "avg_weekly_price"
+        rows, ["week_index", "name"], "prix", "avg_weekly_price", settle=settle
     )
 
 
@@ -105,7 +125,7 @@ def last_price_forecast(spark: SparkSession, sf_dir: str, *extra: str) -> DataFr
 
 def features(spark: SparkSession, sf_dir: str, which: forecasting.FeatureSet) -> DataFrame:
     rows, found = indexed.surveyed_observations(gas_raw(spark, sf_dir))
-    rows = indexed.index_surveyed(rows, found, first_year=FIRST_YEAR)
+    rows = indexed.index_surveyed(rows, found.daily, first_year=FIRST_YEAR)
     return forecasting.feature_table(rows, which, found.sizes, order=ORDER)
 
 
@@ -166,6 +186,65 @@ def stage_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(spark, path, lambda: gas_raw(spark, sf_dir))
 
 
+@query
+def src_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some lines lack a field, have one too many or a station that is no number: all lines by
+    outcome, with a checksum of the rejected lines' text."""
+    path = shared_folder(spark)
+    rows = gas_raw(spark, sf_dir)
+    station = F.when(F.col("l_orderkey") % 61 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id").cast("string"))
+    fields = [station, *[F.col(c).cast("string") for c in ("cp", "pop", "lat", "long", "date", "type", "name")]]
+    price = F.col("prix").cast("decimal(18,0)").cast("string")
+    line = F.concat_ws(";", *fields, F.when(F.col("l_orderkey") % 53 != 0, price), F.when(F.col("l_orderkey") % 59 == 0, "more"))
+    rows.select(line.alias("value")).write.option("compression", "gzip").text(path)
+    found = read_price_files_checked(spark, f"{path}/*.gz", shared_folder(spark))
+    accepted = found.accepted.select(
+        F.lit("accepted").alias("outcome"), F.lit(len(RAW_SCHEMA)).alias("n_fields"), F.col("prix").try_cast("double").cast("long").alias("checksum")
+    )
+    rejected = found.rejected.select(F.col("reason").alias("outcome"), "n_fields", F.length("line").cast("long").alias("checksum"))
+    lines = accepted.unionByName(rejected).groupBy("outcome", "n_fields")
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"), F.sum("checksum").alias("checksum"))
+
+
+@query
+def stage_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage by years is built from yearly files; then 1998 has new prices, 2001 is gone and a
+    late file has rows of 1996: rows of each year, and whether its files were replaced."""
+    source, path = shared_folder(spark), shared_folder(spark)
+    rows = gas_raw(spark, sf_dir)
+    yearly = rows.select(*RAW_SCHEMA.names).withColumn("file_year", F.substring("date", 1, 4))
+    yearly.write.partitionBy("file_year").option("sep", ";").option("compression", "gzip").csv(f"{source}/yearly")
+    years = [r[0] for r in yearly.select("file_year").distinct().collect()]
+
+    def build(raw: DataFrame) -> DataFrame:
+        return prepare.clean_prices(raw).select(FILE, "id", "name", "day_date", "prix", "year")
+
+    def files(kept: list[str]) -> list[str]:
+        return [f"{source}/yearly/file_year={y.replace('/', '%2F')}/*.csv.gz" for y in kept]
+
+    first = refresh_stage(spark, files(years), path, build).stage
+    before = settle(first.select("year", F.col("_metadata.file_name").alias("old")).distinct())
+    again = yearly.filter("file_year = '1998'").drop("file_year").withColumn("prix", F.col("prix") + 100)
+    again.write.mode("overwrite").option("sep", ";").option("compression", "gzip").csv(f"{source}/yearly/file_year=1998")
+    late = rows.filter(F.col("date").startswith("1996") & (F.col("l_orderkey") % 50 == 0)).select(*RAW_SCHEMA.names)
+    late.write.option("sep", ";").option("compression", "gzip").csv(f"{source}/late")
+    now = [*files([y for y in years if y != "2001"]), f"{source}/late/*.csv.gz"]
+    stage = refresh_stage(spark, now, path, build).stage
+    after = stage.select("year", "prix", F.col("_metadata.file_name").alias("new"))
+    known = after.join(before.withColumnRenamed("year", "old_year"), (F.col("new") == F.col("old")) & (F.col("year") == F.col("old_year")), "left")
+    return known.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("prix").alias("total"), F.max(F.col("old").isNull()).alias("rewritten")
+    )
+
+
+@query
+def station_context_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of some stations, read from a stage that is clustered by station."""
+    path = shared_folder(spark)
+    write_clustered_stage(kept(spark, sf_dir).select(*KEYS, "prix"), path, order=["day_date", *TIES])
+    return reports.station_context(read_stage(spark, path), [1, 3, 5, 7, 9], "1998-10-01", "1999-01-15", tiebreak=TIES)
+
+
 @query
 def sql_year_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_view(cleaned(spark, sf_dir), "gas_prices")
@@ -281,7 +360,7 @@ def rare_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def national_daily_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cleaned(spark, sf_dir)
-    return reports.average_without_rare_fuels(rows, indices.DAY_AND_FUEL, "prix", indices.AVERAGE)
+    return reports.average_without_rare_fuels(rows, indices.DAY_AND_FUEL, "prix", indices.AVERAGE, settle=settle)
 
 
 @query
@@ -323,9 +402,32 @@ def kpis_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.headline_numbers(rows)
 
 
+@query
+def kpis_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline numbers of several selections from a stage of the cube; stations by a sketch."""
+    path = shared_folder(spark)
+    write_stage(cubes.headline_cube(cleaned(spark, sf_dir)), path)
+    cube = read_stage(spark, path)
+    selections = {
+        "all": None,
+        "none": cubes.years_and_fuels([1890], OTHER_FUELS),
+        "one_fuel": F.col("name") == FUEL,
+        "two_years": cubes.years_and_fuels([1997, 1998], OTHER_FUELS),
+    }
+    rows = [cubes.cube_headlines(cube, s).withColumn("selection", F.lit(n)) for n, s in selections.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def heat_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of all zoom levels, the index in hundredths so that sums are exact."""
+    found = tiles.heat_tiles(index_in_hundredths(spark, sf_dir), zoom=10, floor=9000.0)
+    return found.select("name", "zoom", "tile", "n_rows", "total", "weight")
+
+
 @query
 def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.filter_options_without_rare_fuels(cleaned(spark, sf_dir))
+    return reports.filter_options_without_rare_fuels(cleaned(spark, sf_dir), settle=settle)
 
 
 @query
@@ -372,6 +474,13 @@ def features_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.add_history(days, lags=(1, 7), rolling=7, order=["day_date"])
 
 
+@query
+def features_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices one and seven calendar days ago and of the last seven days; gaps are null."""
+    rows = calendar_history.add_calendar_history(kept(spark, sf_dir).select(*KEYS, "prix"))
+    return rows.select(*KEYS, "prix", "price_1d_ago", "price_7d_ago", "avg_last_7d")
+
+
 @query
 def features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     which = forecasting.FEATURES_A
@@ -398,6 +507,22 @@ def split_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.quantile_day(past(spark, sf_dir, (1, 7), 7), 0.8)
 
 
+@query
+def split_quantile_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut by the sketches beside a stage, merged from fuels and by one sketch of all rows,
+    against the exact one: whether its rank is within 0.001."""
+    stage = write_sketched_stage(past(spark, sf_dir, (1, 7), 7), path := shared_folder(spark), by=["name"])
+    merged = sketches.merged_sketch(stage_sketches(spark, path))
+    forms = {"merged": merged, "whole": sketches.merged_sketch(sketches.day_sketches(stage))}
+    exact = splits.quantile_day(stage, 0.8).withColumnRenamed("cut", "exact_cut")
+    rows = []
+    for form, sketch in forms.items():
+        bounds = sketches.rank_bounds(stage, sketches.sketched_day(sketch, 0.8))
+        within = (F.col("before") <= 0.8 + 0.001) & (F.col("upto") >= 0.8 - 0.001)
+        rows.append(bounds.select(F.lit(form).alias("form"), "n_rows", within.alias("is_within")))
+    return reduce(DataFrame.unionByName, rows).join(F.broadcast(exact))
+
+
 @query
 def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.with_part(past(spark, sf_dir, (1,), None), CUT)
@@ -423,6 +548,13 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select(*[F.round(m, 4).alias(m) for m in metrics.METRICS])
 
 
+@query
+def eval_by_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last price as forecast, evaluated after each of three cuts in one pass."""
+    values = folds.evaluate_by_cut(last_price_forecast(spark, sf_dir), CUTS)
+    return values.select("cut", "horizon", "n_train", "n_test", *[F.round(m, 4).alias(m) for m in metrics.METRICS])
+
+
 @query
 def pred_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.value_range(last_price_forecast(spark, sf_dir))
@@ -461,6 +593,15 @@ def model_lr_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select(*KEYS, "prix", F.round("prediction", 2).alias("prediction"))
 
 
+@query
+def model_lr_by_fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regression on the last price for every fuel, all from one aggregation."""
+    train, test = splits.split_by_date(settle(past(spark, sf_dir, (1, 7), 7)), CUT)
+    models = group_regression.fit_by_group(train, ["price_lag_1"])
+    predicted = group_regression.predict_by_group(test, models, ["price_lag_1"])
+    return predicted.select(*KEYS, "prix", F.round("prediction", 2).alias("prediction"))
+
+
 @query
 def model_lr_bivariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two features, checked against the closed form."""

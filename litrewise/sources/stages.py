@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from litrewise.operators.sketches import day_sketches
 
 # Hidden from scans, like all names that begin with an underscore.
 SCHEMA_FOLDER = "_stage_schema"
@@ -82,6 +82,23 @@ def materialize(
     return read_stage(spark, path, schema=schema)
 
 
+SKETCH_FOLDER = "_day_sketches"
+
+
+def write_sketched_stage(df: DataFrame, path: str, *, by: Sequence[str] = ("name",), partition_by: Sequence[str] = ()) -> DataFrame:
+    """`write_stage`, and beside it a sketch of the days of each group of `by`, made from two
+    columns of what was written. Returns the stage."""
+    write_stage(df, path, partition_by=partition_by)
+    stage = read_stage(df.sparkSession, path, schema=df.schema)
+    day_sketches(stage, by).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{SKETCH_FOLDER}")
+    return stage
+
+
+def stage_sketches(spark: SparkSession, path: str) -> DataFrame:
+    """The sketches beside a stage: a row for each group, however many rows the stage has."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{SKETCH_FOLDER}")
+
+
 def register_view(df: DataFrame, name: str = "gas_prices") -> DataFrame:
     df.createOrReplaceTempView(name)
     return df

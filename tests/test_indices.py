@@ -69,7 +69,7 @@ def test_operators_start_no_job(spark):
         [(1, "75000", 1.0, 1.0, day, "a", 1.0, 2023, 1)],
         "id long, cp string, lat double, long double, day_date date, name string, prix double, year int, week_index int",
     ).withColumn("date_parsed", F.col("day_date").cast("timestamp"))
-    from litrewise.operators import history, metrics, prepare, splits
+    from litrewise.operators import calendar_history, cubes, folds, history, metrics, prepare, sketches, splits, tiles
 
     tracker = spark.sparkContext.statusTracker()
     before = len(tracker.getJobIdsForGroup(None))
@@ -82,6 +82,11 @@ def test_operators_start_no_job(spark):
     reports.department_map(rows.select(F.lit("75").alias("dept")), reports.department_average(rows, "prix"), "a")
     reports.average_without_rare_fuels(rows, ["week_index", "name"], "prix", "x")
     splits.with_part(rows, "2023-01-01"), splits.quantile_day(rows), splits.split_counts(rows, "2023-01-01")
+    calendar_history.add_calendar_history(rows)
+    cubes.cube_headlines(cubes.headline_cube(rows))
+    folds.evaluate_by_cut(rows.withColumn("prediction", F.col("prix")), ["2023-01-01"])
+    sketches.rank_bounds(rows, sketches.sketched_day(sketches.merged_sketch(sketches.day_sketches(rows))))
+    tiles.heat_tiles(rows, "prix")
     metrics.evaluate(rows.withColumn("prediction", F.col("prix")))
     reports.station_series(rows.withColumn("prediction", F.col("prix")), 1)
     assert len(tracker.getJobIdsForGroup(None)) == before

@@ -99,3 +99,81 @@ def test_series_of_the_first_station(spark):
     assert [r["prix"] for r in forecasting.first_station_series(rows).collect()] == [2.0]
     assert forecasting.first_station_series(rows.filter("id > 9")).count() == 0
     assert [r["prix"] for r in reports.station_series(rows, 5).collect()] == [5.0]
+
+
+# A regression tree in plain Python: the split of greatest fall in squared error at each node.
+
+
+def plain_tree(rows, labels, depth):
+    mean = sum(labels) / len(labels)
+    whole = sum((y - mean) ** 2 for y in labels)
+    best = None
+    for j in range(len(rows[0])):
+        values = sorted({r[j] for r in rows})
+        for low, high in zip(values, values[1:]):
+            sides = [[y for r, y in zip(rows, labels) if (r[j] <= low) == left] for left in (True, False)]
+            error = sum(sum((y - sum(s) / len(s)) ** 2 for y in s) for s in sides)
+            if best is None or error < best[0] - 1e-9:
+                best = (error, j, (low + high) / 2)
+    if depth == 0 or best is None or whole - best[0] <= 1e-9:
+        return mean
+    _, j, cut = best
+    parts = [([r for r in rows if (r[j] <= cut) == left], [y for r, y in zip(rows, labels) if (r[j] <= cut) == left]) for left in (True, False)]
+    return (j, cut, *[plain_tree(*p, depth - 1) for p in parts])
+
+
+def plain_value(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def irregular(spark, n=150):
+    """Rows whose splits never tie, with fewer different values than the trees have bins."""
+    import random
+
+    rng = random.Random(12)
+    rows = [(float(rng.randrange(17)) ** 1.3, float(rng.randrange(11)) * 0.7) for _ in range(n)]
+    labels = [10 * a**0.5 - b * b + (5 if a > 8 and b < 3 else 0) + rng.gauss(0, 1) for a, b in rows]
+    frame = spark.createDataFrame([(*r, y) for r, y in zip(rows, labels)], "a double, b double, prix double").coalesce(1)
+    return frame, rows, labels
+
+
+def test_forest_of_full_depth_equals_plain_trees(spark):
+    frame, rows, labels = irregular(spark)
+    forest = forecasting.random_forest(trees=3).setBootstrap(False).setFeatureSubsetStrategy("all")
+    found = forecasting.predict(forecasting.fit(frame, forest, ["a", "b"]), frame).collect()
+    tree = plain_tree(rows, labels, forecasting.FOREST_DEPTH)
+    expected = {r: plain_value(tree, r) for r in rows}
+    assert len(set(expected.values())) > 40
+    assert all(r["prediction"] == pytest.approx(expected[r["a"], r["b"]], rel=1e-6) for r in found)
+
+
+def test_all_boosting_rounds_equal_plain_boosting(spark):
+    frame, rows, labels = irregular(spark)
+    found = forecasting.predict(forecasting.fit(frame, forecasting.boosted_trees(), ["a", "b"]), frame).collect()
+    # Squared loss: the first tree fits the labels, each other one twice what is left, at a tenth.
+    tree = plain_tree(rows, labels, 5)
+    fitted = [plain_value(tree, r) for r in rows]
+    for _ in range(forecasting.BOOSTING_ROUNDS - 1):
+        tree = plain_tree(rows, [2 * (y - f) for y, f in zip(labels, fitted)], 5)
+        fitted = [f + 0.1 * plain_value(tree, r) for f, r in zip(fitted, rows)]
+    expected = dict(zip(rows, fitted))
+    assert all(r["prediction"] == pytest.approx(expected[r["a"], r["b"]], rel=1e-6) for r in found)
+
+
+def test_comparison_equals_the_metrics_of_plain_models(spark):
+    """All three default models, bagging apart: least squares by numpy, and plain boosting."""
+    import numpy as np
+
+    frame, rows, labels = irregular(spark)
+    found = {r["model"]: r for r in forecasting.compare_models(frame, frame, forecasting.default_models(), ["a", "b"]).collect()}
+    design = np.array([(1.0, *r) for r in rows])
+    fitted = design @ np.linalg.lstsq(design, np.array(labels), rcond=None)[0]
+    error = np.array(labels) - fitted
+    assert found["linear_regression"]["rmse"] == pytest.approx(float(np.sqrt((error**2).mean())), rel=1e-6)
+    assert found["linear_regression"]["mae"] == pytest.approx(float(np.abs(error).mean()), rel=1e-6)
+    # A forest's trees are fitted to rows drawn again, so that it lies between one tree and a line.
+    tree = plain_tree(rows, labels, forecasting.FOREST_DEPTH)
+    own = float(np.sqrt(np.mean([(y - plain_value(tree, r)) ** 2 for r, y in zip(rows, labels)])))
+    assert own < found["random_forest"]["rmse"] < found["linear_regression"]["rmse"]
