@@ -11,9 +11,10 @@ words below each digit are summed digit by digit, so that a task gets at most 81
 one source however many documents it has.
 
 Rows: a null text has size 0 and is taken as often as any document of its source (no words);
-a null source is a source of its own, last in order; rows with equal id and size have equal
-ranks and are taken or left together; a null id draws as an empty text would.
-An empty table gives an empty mix.
+a null source is a source of its own, last in order; a null id draws as an empty text would.
+Equal rows are grouped and numbered, and each number draws for itself, so that repeated rows are
+taken by ones like any others. In `mix_documents` rows that differ in other columns than id,
+source and text only draw alike. Extra columns are kept there. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -82,15 +83,31 @@ def source_targets(
     return rows.select("source", "key", "source_size", target.alias("target"))
 
 
-def with_rank(documents: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add size, key and the draw's odds divided by the preference (as `draw`)."""
-    sized = documents.withColumn("size", word_count(F.col("text")))
-    u = uniform(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}")))
-    return sized.withColumn("key", source_key(F.col("source"))).withColumn(
+def numbered(rows: DataFrame) -> DataFrame:
+    """All rows, equal ones told apart by `_copy` from 0. They are counted before the shuffle and
+    given out again, so that no task gets all copies of a row as rows."""
+    columns = rows.columns
+    groups = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy")
+    return groups.select(*columns, copies)
+
+
+def with_rank(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """Add key and the draw's odds divided by the preference (as `draw`) to numbered rows with
+    doc_id, source, size and digest."""
+    name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.col("_copy").cast("string"), F.lit(seed))
+    u = uniform(name)
+    return rows.withColumn("key", source_key(F.col("source"))).withColumn(
         "draw", (u / (F.lit(1.0) - u)) / preference(F.col("size"))
     )
 
 
+def text_columns() -> dict[str, Column]:
+    """What a draw needs of a text: its size and a digest."""
+    text = F.col("text")
+    return {"size": word_count(text), "digest": F.md5(F.coalesce(text, F.lit("")).cast("binary"))}
+
+
 def rank_number(draw: Column, fraction: Column) -> Column:
     """The Pareto rank as a whole number of RANK_BITS bits, in the same order (null where
     nothing is sampled)."""
@@ -162,7 +179,8 @@ def with_copies(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def plan_mix(documents: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """The narrow ranked rows (written once) and the decisions per source."""
-    ranked = settle(with_rank(documents, seed).select("doc_id", "source", "size", "key", "draw"))
+    narrow = documents.select("doc_id", "source", *[c.alias(n) for n, c in text_columns().items()])
+    ranked = settle(with_rank(numbered(narrow), seed).select("doc_id", "source", "size", "key", "draw"))
     sources = ranked.groupBy("source", "key").agg(F.sum("size").alias("source_size"))
     return ranked, settle(sample_cuts(ranked, source_targets(sources)))
 
@@ -178,11 +196,11 @@ def mix_sizes(documents: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mix_documents(documents: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    columns = documents.columns
-    plain = documents.withColumn("_row", F.struct(*columns))
     _, cuts = plan_mix(documents, seed)
-    rows = with_copies(with_rank(plain.select("_row", "doc_id", "source", "text"), seed), cuts)
-    repeated = rows.filter("copies > 0").select(
-        "_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
+    rows = numbered(documents.select(F.struct(*documents.columns).alias("_row")))
+    parts = rows.select("_row", "_copy", *[F.col(f"_row.{c}").alias(c) for c in ("doc_id", "source", "text")])
+    drawn = with_rank(parts.withColumns(text_columns()).drop("text"), seed)
+    repeated = with_copies(drawn, cuts).filter("copies > 0").select(
+        "_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_time")
     )
     return repeated.select("_row.*")

@@ -6,17 +6,21 @@ tests/llm compares them with brute force.
 
 from __future__ import annotations
 
-from litrewise.llm.sharding import Node, grow_tree, uniform_tree
+from litrewise.llm.sharding import Node, uniform_tree
 
 # The numbers are those of litrewise.llm.mixing. A source's sample stops at the rank whose words
 # are nearest the rest; rows of equal rank go together, as the default window frame takes them.
 SOURCE_MIX = r"""
-with sized as (
+with numbered_rows as (
+    select doc_id, source, text, md5(coalesce(text, '')) as digest,
+           row_number() over (partition by doc_id, source, coalesce(text, '')) - 1 as copy
+    from documents),
+sized as (
     select doc_id, source,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-           (('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/mix-1'), 1, 13))::bigint::double + 0.5)
-               / 4503599627370496.0 as u
-    from documents),
+           (('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/' || digest || '/' || copy || '/mix-1'), 1, 13))::bigint::double
+               + 0.5) / 4503599627370496.0 as u
+    from numbered_rows),
 sources as (
     select source, sum(size)::bigint as source_size,
            [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint]::double as weight
@@ -73,9 +77,8 @@ table_ as (
         lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t)"""
 
 
-def _crc32(text: str) -> str:
-    """The unsigned checksum of the UTF-8 bytes of `text`; `t` is the column of CRC_TABLE."""
-    digits = f"hex(encode({text}))"
+def _crc32(digits: str) -> str:
+    """The unsigned checksum of bytes given in hex; `t` is the column of CRC_TABLE."""
     return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
         list_transform(range(length({digits}) // 2), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::bigint)),
         lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)))::bigint"""
@@ -86,7 +89,7 @@ RUNS = f"""
 with {CRC_TABLE.strip()},
 split as (
     select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words,
-           case when doc_id is not null then {_crc32("doc_id::varchar")} end as h
+           case when doc_id is not null then {_crc32("hex(encode(doc_id::varchar))")} end as h
     from documents, table_),
 chosen as (
     select *, len(words) as n, (h // 10) % len(words) as a,
@@ -180,10 +183,14 @@ def conversations() -> str:
         chosen.append(f"when {q} then (case {tests} end)")
     return f"""
 with recursive {CRC_TABLE.strip()},
-summed as (
+named as (
     select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
-           {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fault
-    from conversations, table_),
+           hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) as name
+    from conversations),
+summed as (
+    select conv_id, turn, role, text,
+           {_crc32("name")} % 20 as fault
+    from named, table_),
 damaged as (
     select conv_id, turn, case when fault = 4 then 'user' else role end as role,
            case fault when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
@@ -253,37 +260,33 @@ def _draw(key: str, name: str, weight: float) -> str:
     return f"-ln(({number} + 0.5) / 4503599627370496.0) / {weight}::double"
 
 
-def _shard(key: str, level: tuple[Node, ...]) -> str:
-    """The shard that `key` reaches: in each level the smallest weighted draw wins."""
-    below = [str(n.shard) if n.shard is not None else _shard(key, n.children) for n in level]
-    if len(level) == 1:
-        return below[0]
-    draws = ", ".join(f"struct_pack(d := {_draw(key, n.name, n.weight)}, i := {i})" for i, n in enumerate(level))
-    cases = " ".join(f"when {i} then {b}" for i, b in enumerate(below))
-    return f"case list_min([{draws}]).i {cases} end"
+def _leaves(level: tuple[Node, ...]) -> list[Node]:
+    return [leaf for n in level for leaf in ([n] if n.shard is not None else _leaves(n.children))]
+
+
+def _shard(key: str, tree: tuple[Node, ...]) -> str:
+    """The shard that `key` reaches: the least draw of all is the least at every level above it."""
+    draws = [f"struct_pack(d := {_draw(key, n.name, n.weight)}, s := {n.shard})" for n in _leaves(tree)]
+    return f"list_min([{', '.join(draws)}]).s"
 
 
 def sharding(shards: int = 16) -> str:
     """The tree walk in SQL, beside a checksum computed bit by bit."""
-    tree = uniform_tree(shards)
     return f"""
-with table_ as (
-    select list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
-        lambda c, z: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+with {CRC_TABLE.strip()},
 docs as (
     select doc_id, coalesce(doc_id::varchar, '') as key, hex(encode(coalesce(text, ''))) as digits from documents),
 summed as (
-    select doc_id, key, (length(digits) // 2 + 1)::bigint as size,
-           xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
-               list_transform(range(length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint)),
-               lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)))::bigint as text_crc32
+    select doc_id, key, (length(digits) // 2 + 1)::bigint as size, {_crc32("digits")} as text_crc32
     from docs, table_),
 placed as (
-    select *, ({_shard("key", tree)})::int as shard, ({_shard("key", grow_tree(tree, shards))})::int as grown_shard
+    select *, ({_shard("key", uniform_tree(shards))})::int as shard,
+           ({_shard("key", uniform_tree(shards + 1))})::int as grown_shard
     from summed)
 select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
-       (row_number() over (partition by shard order by ('0x' || substr(md5(key), 1, 13))::bigint,
-                           doc_id, text_crc32, size) - 1)::bigint as slot
+       (row_number() over (partition by shard
+                           order by ('0x' || substr(md5(concat_ws('/', key, doc_id, size, text_crc32)), 1, 13))::bigint,
+                                    doc_id, size, text_crc32) - 1)::bigint as slot
 from placed"""
 
 

@@ -12,7 +12,8 @@ so that neither has to fit into one task, and the best of each shard are merged
 Equal vectors are one entry of a shard, with the ids that can still be among the nearest.
 
 Rows: null vectors, zero vectors, vectors with null or non-finite components and vectors whose
-length is not that of most sampled ones take no part, neither as query nor as candidate; rows
+length is not that of most sampled ones take no part, neither as query nor as candidate; very
+large and very small components count like any others (vectors are scaled by powers of two); rows
 with a null id neither. Rows that repeat a query's id are not its candidates. Ties go to the
 smaller id. With too few vectors in the read files all of the shard are ranked, so that each
 query gets its full number. An empty table gives an empty result.
@@ -43,24 +44,35 @@ EVERY = 50
 CLOSE = 0.95  # a pivot is not chosen if its cosine with one already chosen is above this
 
 
-def _usable(values: list | None) -> np.ndarray | None:
-    if values is None or any(v is None for v in values):
-        return None
-    vector = np.array(values, dtype=np.float64)
-    return vector if len(vector) and np.isfinite(vector).all() and vector.any() else None
+def usable(embedding: Column) -> Column:
+    """Whether a vector takes part: no null or non-finite component, and not zero throughout."""
+    finite = F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two of their largest component, which changes no cosine and
+    keeps squares from over- and underflow."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    half = exponent // 2  # in two steps, as one factor may itself be out of range
+    return np.ldexp(np.ldexp(vectors, -half[:, None]), -(exponent - half)[:, None])
+
+
+def units_of(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Unit vectors from the SAMPLE_ROWS rows whose ids have the lowest hashes, not too close
-    to each other unless nothing else is left."""
+    """Unit vectors from the SAMPLE_ROWS usable rows whose ids have the lowest hashes, not too
+    close to each other unless nothing else is left."""
     draw = hex_number(F.concat(F.col("vec_id").cast("string"), F.lit("/pivots")))
-    rows = vectors.filter("vec_id is not null and embedding is not null")
+    rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sample = rows.select("vec_id", "embedding", draw.alias("draw")).orderBy("draw", "vec_id").limit(sample_rows)
-    found = [v for r in sorted(sample.collect(), key=lambda r: (r["draw"], r["vec_id"])) if (v := _usable(r["embedding"])) is not None]
+    found = [r["embedding"] for r in sorted(sample.collect(), key=lambda r: (r["draw"], r["vec_id"]))]
     if not found:
         return np.zeros((0, 0))
     width = Counter(map(len, found)).most_common(1)[0][0]
-    units = np.array([v / np.linalg.norm(v) for v in found if len(v) == width])
+    units = units_of(scaled(np.array([v for v in found if len(v) == width], dtype=np.float64)))
     chosen: list[int] = []
     near = np.full(len(units), -2.0)
     for i in range(len(units)):
@@ -82,7 +94,7 @@ _POINT = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary()), ("places",
 
 
 def index_vectors(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vec_id, vector (float64 bytes) and places (bytes) of every vector that takes part."""
+    """vec_id, vector (float64 bytes, scaled) and places (bytes) of every vector that takes part."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,24 +102,21 @@ def index_vectors(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                ids, found = [], []
-                for vec_id, values in zip(part.column("vec_id").to_pylist(), part.column("embedding").to_pylist()):
-                    vector = _usable(values)
-                    if vec_id is not None and vector is not None and len(vector) == pivots.shape[1]:
-                        ids.append(vec_id), found.append(vector)
-                if found:
-                    matrix = np.array(found)
-                    places = pivot_places(matrix / np.linalg.norm(matrix, axis=1, keepdims=True), pivots)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids, pa.int64()),
-                            pa.array([v.tobytes() for v in matrix], pa.binary()),
-                            pa.array([p.tobytes() for p in places], pa.binary()),
-                        ],
-                        schema=_POINT,
-                    )
-
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+                flat = part.column("embedding").flatten()
+                matrix = scaled(np.asarray(flat, dtype=np.float64).reshape(part.num_rows, -1))
+                places = pivot_places(units_of(matrix), pivots)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("vec_id"),
+                        pa.array([v.tobytes() for v in matrix], pa.binary()),
+                        pa.array([p.tobytes() for p in places], pa.binary()),
+                    ],
+                    schema=_POINT,
+                )
+
+    embedding = F.col("embedding")
+    rows = vectors.filter(F.col("vec_id").isNotNull() & usable(embedding) & (F.size(embedding) == pivots.shape[1]))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), embedding.cast("array<double>").alias("embedding"))
     return rows.mapInArrow(place, "vec_id long, vector binary, places binary")
 
 

@@ -4,9 +4,12 @@ A flat file is one run of fixed-width token ids in which every document ends wit
 there is no index, and blocks are cut without regard to documents. Each block is scanned for
 separators at once; what a document has in other blocks is added by a prefix scan over the
 blocks of its file. The scan has two levels (blocks in stretches, stretches in a file), so
-that a file of any length is never one task.
+that a file of any number of blocks is never one task. Files that `write_flat` makes are rows of
+blocks throughout; raw files, which Spark only hands out whole, may have 2 GB (`read_flat`).
 
-Rows: an empty document is a lone separator and counts 0; tokens after a file's last separator
+Rows: a null or empty document is a lone separator and counts 0; a null id is kept, and repeated
+rows are documents of their own; very long texts and runs of white space are encoded whole;
+extra columns are left out. Tokens after a file's last separator
 are a document of their own, marked as not ended; an empty block adds nothing; files and
 blocks may come in any order. An empty table gives an empty result.
 """
@@ -14,6 +17,7 @@ blocks may come in any order. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,12 +40,42 @@ TOKEN = np.dtype("<u2")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# Fixed value: white space as the vocabulary's split takes it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The split's search fails on runs of white space of some 100,000 characters: runs from so many
+# characters on are cut out beforehand.
+LONG_RUN = 256
+_LONG_RUNS = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+
+
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
     """A vocabulary file: base64 bytes and rank on each line."""
     lines = Path(path).read_bytes().splitlines()
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class Encoder:
+    """The vocabulary's tokens of a text, however long its runs of white space are."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        import tiktoken
+
+        self.words = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaces = tiktoken.Encoding("spaces", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        """As the split takes it, a run of white space is one piece but for its last character,
+        which belongs to what follows; at the end of the text the run is one piece whole."""
+        tokens: list[int] = []
+        start = 0
+        for run in _LONG_RUNS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            tokens += self.words.encode_ordinary(text[start : run.start()])
+            tokens += self.spaces.encode_ordinary(text[run.start() : end])
+            start = end
+        return tokens + self.words.encode_ordinary(text[start:])
+
+
 def write_flat(documents: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Encode documents into flat files, one for each task, in blocks of `block_tokens`.
 
@@ -51,16 +85,14 @@ def write_flat(documents: DataFrame, vocabulary: str = VOCABULARY, block_tokens:
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        encoder = Encoder(ranks.value)
         file = TaskContext.get().partitionId()
         waiting: list[np.ndarray] = []
         held, blocks, documents_seen = 0, 0, 0
         for batch in small_batches(batches, "text", 4 << 20):
             kinds, seqs, ids, data = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                tokens = np.array([*encoding.encode_ordinary(text or ""), SEPARATOR], dtype=TOKEN)
+                tokens = np.array([*encoder.encode(text or ""), SEPARATOR], dtype=TOKEN)
                 kinds.append("document"), seqs.append(documents_seen), ids.append(doc_id), data.append(None)
                 documents_seen += 1
                 waiting.append(tokens)
@@ -97,7 +129,8 @@ def _rows(file: int, kinds: list, seqs: list, ids: list, data: list) -> pa.Recor
 def read_flat(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
     """Blocks (file, seq, data) of raw token files below `path`, read by Spark.
 
-    Spark hands a task one whole file at a time (2 GB at most), which is cut there.
+    Spark hands a task one whole file at a time, which is cut there: a file may have 2 GB at most
+    and must fit into a task. Longer runs of tokens are written as several files, or as blocks.
     """
     size = block_tokens * width
 

@@ -65,6 +65,20 @@ def test_odd_rows(odd):
         assert mixed.filter(F.col("doc_id") == int(doc_id)).count() == n
 
 
+def test_repeated_rows_meet_the_target(spark):
+    """Equal rows are no block: with and without ids, also where one row is the whole source."""
+    for doc_id in (None, 5):
+        rows = [helpers.row(doc_id, "one two three four five six seven eight nine", source="a")] * 900
+        rows += [helpers.row(i, "w " * 40, source="b") for i in range(50)]
+        frame = spark.createDataFrame(rows, helpers.SCHEMA).repartition(3)
+        check(frame)
+        taken = mixing.mix_sizes(frame).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
+        assert all(abs(r["t"] - r["target"]) <= 40 for r in taken)
+        mixed = mixing.mix_documents(frame)
+        words = mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("t")).collect()
+        assert sorted(r["t"] for r in words) == sorted(r["t"] for r in taken)
+
+
 def test_reruns_agree(prose):
     a = sorted(mixing.mix_sizes(prose.repartition(2)).select("doc_id", "taken").collect())
     b = sorted(mixing.mix_sizes(prose.repartition(9)).select("doc_id", "taken").collect())

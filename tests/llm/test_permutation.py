@@ -87,6 +87,27 @@ def test_odd_vectors(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [50, 1, 2], 50: [0, 1, 2]}
 
 
+@pytest.mark.parametrize("magnitude", [1e-310, 1e-200, 1.0, 1e200, 1e308])
+def test_magnitudes_do_not_matter(spark, magnitude):
+    rng = np.random.default_rng(11)
+    plain = rng.uniform(0.1, 1.0, (120, 6))
+    rows = [(i, (v * (magnitude if i % 2 else 1.0)).tolist()) for i, v in enumerate(plain)]
+    got = by_query(permutation.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    want = exact([(i, v.tolist()) for i, v in enumerate(plain)])
+    assert set(got) == set(want)
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got[q], want[q]))
+
+
+def test_a_sample_of_unusable_vectors_stops_nothing(spark, monkeypatch):
+    monkeypatch.setattr(permutation, "SAMPLE_ROWS", 20)
+    rng = np.random.default_rng(12)
+    rows = [(i, [0.0] * 4 if i % 10 else rng.standard_normal(4).tolist(), 0) for i in range(400)]
+    got = by_query(permutation.nearest_neighbours(frame(spark, rows)))
+    assert set(got) == set(range(0, 400, 50)) and all(len(v) == 5 for v in got.values())
+
+
 def test_empty(spark):
     found = permutation.nearest_neighbours(frame(spark, []))
     assert found.count() == 0 and found.columns == ["query_id", "rank", "vec_id", "score"]

@@ -50,6 +50,27 @@ def test_documents(spark, prose, odd):
         assert sorted(got, key=str) == want
 
 
+SPACES = [" ", "\n", "\t", " \n", "\r\n", "\u00a0", "\u3000 ", "\x85"]
+
+
+@pytest.mark.parametrize("space", SPACES)
+def test_long_white_space_has_the_tokens_of_the_split(space):
+    encoder = token_counts.Encoder(token_counts.read_ranks())
+    for n in (255, 256, 257, 3000):
+        run = (space * n)[:n]
+        for text in (run, "a" + run, run + "b", f"a{run}b", f"a {run}!", f"a{run}'s{run} 7{run}", f"{run}\x1c{run}x"):
+            assert encoder.encode(text) == encoder.words.encode_ordinary(text)
+
+
+def test_a_million_spaces(spark):
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "x" + " \t\n" * 400_000, "e" * 300_000]
+    rows = [(i, t) for i, t in enumerate([*texts, None, ""])]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # The vocabulary has a token for two line breaks; the last one before a letter stands alone.
+    assert got[0] == 1_000_000 and got[1] == 1 + 500_000 + 1 + 1 and got[4] == got[5] == 0
+    assert 400_000 <= got[2] <= 1_200_001 and 0 < got[3] <= 300_000
+
+
 def test_raw_files(spark, tmp_path):
     np.array([5, 5, 0, 0, 7], dtype="<u2").tofile(tmp_path / "a.bin")
     np.array([3, 0], dtype="<u2").tofile(tmp_path / "b.bin")
