@@ -1,34 +1,37 @@
 """Language identification by compression.
 
-For each language a bounded sample of its texts becomes a raw-content zstandard dictionary.
-A text is compressed with every dictionary; the language of the smallest result wins. The
+For each language a bounded sample of its texts becomes a raw-content zstandard dictionary: an
+equal share of bytes from each of TEXTS_PER_LANGUAGE texts, taken at a place that a hash decides.
+Short texts teach only languages that have no others, and the MOST_LANGUAGES most frequent
+languages are learned. A text is compressed with every dictionary; the language of the smallest result wins. The
 distance to the second best is the margin: where it is narrow the prediction is marked as
 not accepted (column `accepted`), and the caller decides what to do with it.
 
 Rows: a null text, or one without letters, is `und` with score 0; texts are compressed whole,
 in blocks; ties go to the language that sorts first; equal texts have equal results. Only the
-given id and text columns are used. An empty table gives an empty result; nothing to learn
+given id and text columns are used. Repeated rows teach once. An empty table gives an empty result; nothing to learn
 from makes every text `und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrewise.llm.common import remainder, small_batches
-from litrewise.llm.sampling import lowest_per_class
+from litrewise.llm.sampling import lowest_per_class, row_name
 
-# What a dictionary is learned from: at most so many texts of a language, so many characters
-# of each, so many bytes in all.
+# What a dictionary is learned from: at most so many texts of a language, and so many bytes in
+# all. Texts of fewer characters than SHORT_TEXT are the second choice.
 TEXTS_PER_LANGUAGE = 400
-CHARS_PER_TEXT = 3000
 DICTIONARY_BYTES = 96 * 1024
+SHORT_TEXT = 40
+MOST_LANGUAGES = 256
 
 LEVEL = 6
 SHORT_LEVEL = 12
@@ -39,7 +42,8 @@ NARROW_BITS = 16.0
 BITS_PER_NAT = 16.0
 UNDETERMINED = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Letters by Unicode class: numbers of any kind are none.
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def plain(text: str | None) -> bytes:
@@ -47,22 +51,48 @@ def plain(text: str | None) -> bytes:
     return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode()
 
 
+def equal_shares(texts: list[bytes], most: int) -> list[bytes]:
+    """The texts cut to one length, the largest with which they have `most` bytes or fewer."""
+    left, share = most, most
+    for done, size in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - done)
+        if size > share:
+            break
+        left -= size
+    return [t[:share] for t in texts]
+
+
 def learn_dictionaries(labelled: DataFrame, seed: str = "language") -> dict[str, bytes]:
     """A dictionary for each lang of `labelled` (doc_id, text, lang); rows without lang or
-    letters teach nothing."""
-    usable = labelled.filter("lang is not null and text is not null and length(text) >= 40")
-    chosen = lowest_per_class(usable.select("doc_id", "lang"), "lang", TEXTS_PER_LANGUAGE, seed)
-    rows = (
-        usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-        .select("lang", "doc_id", F.substring("text", 1, CHARS_PER_TEXT).alias("text"))
-        .collect()  # at most TEXTS_PER_LANGUAGE short texts of each language
+    letters teach nothing.
+
+    The driver gets at most TEXTS_PER_LANGUAGE cuts of MOST_LANGUAGES languages, with twice
+    DICTIONARY_BYTES characters of each language in all.
+    """
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select(*row_name(), "lang", "text", (F.length("text") < SHORT_TEXT).alias("short"))
+    rows = usable.select("row_id", "digest", "lang", "short").distinct()
+    langs = rows.groupBy("lang", "short").agg(F.count(F.lit(1)).alias("n"))
+    langs = langs.groupBy("lang").agg(F.sum("n").alias("rows"), F.min(F.struct("short", "n")).alias("best"))
+    # One row for each learned language: bounded by the parameter.
+    langs = langs.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).select("lang", "best.short", "best.n")
+    chosen = lowest_per_class(
+        rows.join(F.broadcast(langs), ["lang", "short"]).select("row_id", "digest", "lang"), "lang", TEXTS_PER_LANGUAGE, seed
     )
-    found: dict[str, bytearray] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if words := plain(row["text"]):
-            content = found.setdefault(row["lang"], bytearray())
-            content += b" " + words[: DICTIONARY_BYTES - len(content)]
-    return {lang: bytes(content[:DICTIONARY_BYTES]) for lang, content in sorted(found.items())}
+    chosen = chosen.join(F.broadcast(langs.select("lang", "n")), "lang")
+    # At most TEXTS_PER_LANGUAGE rows of each learned language.
+    found = usable.join(F.broadcast(chosen), ["row_id", "digest", "lang"])
+    chars = F.ceil(F.lit(2 * DICTIONARY_BYTES) / F.least("n", F.lit(TEXTS_PER_LANGUAGE))).cast("int")
+    # The lowest hashes are near 0: their last digits decide the place.
+    spot = F.pmod(F.col("_draw"), F.lit(float(1 << 20))) / F.lit(float(1 << 20))
+    start = F.floor(spot * F.greatest(F.length("text") - chars, F.lit(0))).cast("int") + 1
+    cut = found.select("lang", "row_id", "digest", "_draw", F.substr("text", start, chars).alias("cut"))
+    cuts = cut.groupBy("lang", "row_id", "digest", "_draw").agg(F.first("cut").alias("cut")).collect()
+    words: dict[str, list[bytes]] = {}
+    for row in sorted(cuts, key=lambda r: (r["lang"], r["_draw"], r["row_id"], r["digest"])):
+        if found_words := plain(row["cut"]):
+            words.setdefault(row["lang"], []).append(found_words + b" ")
+    return {lang: b"".join(equal_shares(texts, DICTIONARY_BYTES)) for lang, texts in sorted(words.items())}
 
 
 class Compressors:

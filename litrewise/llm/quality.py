@@ -1,18 +1,25 @@
 """A quality classifier that lets the nearest labelled documents vote.
 
-Texts become vectors of character-class trigrams (what kinds of characters follow each other)
-and a few repetition measures, weighted by rarity and projected on the leading singular vectors
-of a bounded labelled sample (latent-semantic vectors). The sample's vectors, a few thousand at
-most, are broadcast; every document's cosines with all of them are computed exactly, in blocks,
-and the labels of the nearest are averaged with the similarities as weights.
+Texts become vectors of character-class trigrams (what kinds of characters follow each other), of
+hashed words, and of a few repetition measures, weighted by rarity and projected on the leading
+singular vectors of a bounded labelled sample (latent-semantic vectors). The sample's vectors, a
+few thousand at most, are broadcast; every document's cosines with all of them are computed, in
+blocks, and the labels of the nearest are averaged with the similarities as weights.
+
+Features, projection and vectors are whole numbers (in units of a power of two) that are small
+enough for their products and sums to be exact in any order, so that a score depends on the text
+and the model alone, not on the block it is computed in.
 
 Rows: a null text counts as empty; an empty text has a vector (of constants) and so a score;
-equal texts have equal scores; texts are read whole. Null labels teach nothing. Without any
-label every score is 0.5. An empty table gives an empty result.
+equal texts have equal scores; texts are read whole. Neighbours as near as the last one needed
+all vote. Null labels teach nothing, nor do ids with both labels; repeated rows teach once; rows of
+one id with different texts teach each. Without any label every score is 0.5. Extra columns are
+kept by `keep_good`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +29,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrewise.llm.common import remainder, small_batches
-from litrewise.llm.sampling import lowest_per_class
+from litrewise.llm.sampling import lowest_per_class, row_name
 
 # The bound of the labelled sample, and the size of the model made from it.
-SAMPLE_PER_LABEL = 1200
+SAMPLE_PER_LABEL = 2000
 DIMENSIONS = 48
 NEIGHBOURS = 15
 TRIGRAMS = 16**3
 MEASURES = 6
+TERMS = 1 << 12
+FEATURES = TRIGRAMS + MEASURES + TERMS
+# What the words of a text weigh beside its trigrams.
+TERM_SHARE = 0.5
+MOST_WORDS = 400_000
+BLOCK_ROWS = 512
+
+# Units of the whole numbers: features, projection, and vectors of length 1. The largest sums are
+# 2^14 * 2^21 * FEATURES and 2^40 * DIMENSIONS and 2^40 * 2 * SAMPLE_PER_LABEL, all below 2^53.
+FEATURE_UNIT = 1 << 14
+PROJECTION_UNIT = 1 << 16
+VECTOR_UNIT = 1 << 20
 
 # The class of each ASCII character; anything else is class 1 as a letter.
 CLASSES = {
@@ -59,109 +78,153 @@ def class_table() -> np.ndarray:
 _CODES = class_table()
 
 
-def features(text: str | None) -> np.ndarray:
-    """Square roots of trigram shares, then repetition measures, all between 0 and 1."""
+class TermNumbers(dict):
+    """The bucket of each word, remembered; emptied when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        value = TRIGRAMS + MEASURES + zlib.crc32(word.encode()) % TERMS
+        self[word] = value
+        return value
+
+
+def features(text: str | None, terms: TermNumbers) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and values (in FEATURE_UNIT) of the features a text has: square roots of trigram
+    shares, repetition measures, and square roots of the shares of hashed words."""
     text = text or ""
-    found = np.zeros(TRIGRAMS + MEASURES, dtype=np.float32)
     codes = _CODES[np.frombuffer(text.encode(), dtype=np.uint8)]
+    found, values = [], []
     if len(codes) > 2:
-        trigrams = codes[:-2] * 256 + codes[1:-1] * 16 + codes[2:]
-        counts = np.bincount(trigrams, minlength=TRIGRAMS)
-        found[:TRIGRAMS] = np.sqrt(counts / len(trigrams))
+        counts = np.bincount(codes[:-2] * 256 + codes[1:-1] * 16 + codes[2:], minlength=TRIGRAMS)
+        found.append(np.flatnonzero(counts))
+        values.append(np.sqrt(counts[found[-1]] / (len(codes) - 2)))
     words = text.lower().split()
     lines = [line for line in text.split("\n") if line]
     n = max(1, len(words))
     same = sum(map(str.__eq__, words, words[1:]))
-    found[TRIGRAMS:] = [
-        np.sqrt(same / n),
-        1.0 - len(set(words)) / n if words else 0.0,
-        1.0 - len(set(lines)) / len(lines) if lines else 0.0,
-        min(1.0, len(text) / n / 20.0),
-        min(1.0, np.log1p(len(words)) / 12.0),
-        0.25,
-    ]
-    return found
+    found.append(np.arange(TRIGRAMS, TRIGRAMS + MEASURES))
+    values.append(
+        np.array(
+            [
+                np.sqrt(same / n),
+                1.0 - len(set(words)) / n if words else 0.0,
+                1.0 - len(set(lines)) / len(lines) if lines else 0.0,
+                min(1.0, len(text) / n / 20.0),
+                min(1.0, np.log1p(len(words)) / 12.0),
+                0.25,
+            ]
+        )
+    )
+    if words:
+        buckets, counts = np.unique(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)), return_counts=True)
+        found.append(buckets)
+        values.append(TERM_SHARE * np.sqrt(counts / n))
+    numbers = np.concatenate(found).astype(np.uint16)
+    whole = np.rint(np.concatenate(values) * FEATURE_UNIT).astype(np.uint16)
+    return numbers[whole > 0], whole[whole > 0]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Feature weights, projection, and the labelled vectors; a few megabytes."""
+    """Weighted projection, labelled vectors and labels, all whole numbers; a few megabytes."""
 
-    weights: np.ndarray
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
-    def vectors_of(self, rows: np.ndarray) -> np.ndarray:
-        projected = (rows * self.weights) @ self.projection
-        return projected / np.maximum(np.linalg.norm(projected, axis=1, keepdims=True), 1e-12)
+    def vectors_of(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Projected rows of length VECTOR_UNIT, as whole numbers."""
+        projected = np.array([values.astype(np.float64) @ self.projection[numbers] for numbers, values in rows])
+        length = np.sqrt((projected * projected).sum(axis=1, keepdims=True))
+        return np.rint(projected / np.maximum(length, 1e-12) * VECTOR_UNIT)
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         cosines = self.vectors_of(rows) @ self.vectors.T
         # No more neighbours than the rarer label has rows, or it could never win.
         rarer = min(n for n in (self.labels.sum(), (1 - self.labels).sum()) if n)
         k = int(min(NEIGHBOURS, rarer))
-        nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(cosines, nearest, axis=1), 1e-6).astype(np.float64)
-        return (weights * self.labels[nearest]).sum(axis=1) / weights.sum(axis=1)
-
-
-def fit(rows: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
-    """Rarity weights and leading singular vectors (by randomised power iteration)."""
-    if not len(rows):
-        empty = np.zeros((0, DIMENSIONS), dtype=np.float32)
-        return Model(np.ones(TRIGRAMS + MEASURES), np.zeros((TRIGRAMS + MEASURES, DIMENSIONS)), empty, labels)
-    seen = (rows > 0).sum(axis=0)
-    weights = np.where(seen > 0, np.log1p(len(rows) / np.maximum(seen, 1)), 0.0).astype(np.float32)
-    weights[TRIGRAMS:] = 1.0
-    weighted = rows * weights
-    wide = min(DIMENSIONS + 16, *weighted.shape)
-    basis = weighted.T @ np.random.default_rng(seed).standard_normal((len(rows), wide)).astype(np.float32)
+        last = np.partition(cosines, -k, axis=1)[:, [-k]]
+        weights = np.where(cosines >= last, np.maximum(cosines, 1.0), 0.0)
+        return (weights @ self.labels) / weights.sum(axis=1)
+
+
+def _dense_blocks(rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    for start in range(0, len(rows), BLOCK_ROWS):
+        part = rows[start : start + BLOCK_ROWS]
+        block = np.zeros((len(part), FEATURES))
+        for i, (numbers, values) in enumerate(part):
+            block[i, numbers] = values / FEATURE_UNIT
+        yield slice(start, start + len(part)), block * weights
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
+    """Rarity weights and leading singular vectors (by randomised power iteration, in blocks)."""
+    if not rows:
+        return Model(np.zeros((FEATURES, DIMENSIONS)), np.zeros((0, DIMENSIONS)), labels)
+    seen = np.bincount(np.concatenate([numbers for numbers, _ in rows]), minlength=FEATURES)
+    weights = np.where(seen > 0, np.log1p(len(rows) / np.maximum(seen, 1)), 0.0)
+    weights[TRIGRAMS : TRIGRAMS + MEASURES] = 1.0
+    wide = min(DIMENSIONS + 16, len(rows), FEATURES)
+
+    def gathered(left: np.ndarray) -> np.ndarray:
+        return sum(block.T @ left[at] for at, block in _dense_blocks(rows, weights))
+
+    def projected(basis: np.ndarray) -> np.ndarray:
+        return np.concatenate([block @ basis for _, block in _dense_blocks(rows, weights)])
+
+    basis = gathered(np.random.default_rng(seed).standard_normal((len(rows), wide)))
     for _ in range(4):
-        basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
-    _, _, right = np.linalg.svd(weighted @ basis, full_matrices=False)
-    projection = (basis @ right.T)[:, :DIMENSIONS].astype(np.float32)
-    model = Model(weights, projection, np.zeros((0, projection.shape[1]), np.float32), labels)
-    return Model(weights, projection, model.vectors_of(rows), labels)
+        basis, _ = np.linalg.qr(gathered(projected(basis)))
+    _, _, right = np.linalg.svd(projected(basis), full_matrices=False)
+    projection = np.rint((weights[:, None] * (basis @ right.T)[:, :DIMENSIONS]) * PROJECTION_UNIT)
+    model = Model(projection, np.zeros((0, projection.shape[1])), labels)
+    return Model(projection, model.vectors_of(rows), labels)
 
 
 def feature_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, quality and the features of each text as float32 bytes."""
+    """row_id, digest, quality, and the features of each text as bytes of their numbers and
+    values, two bytes each."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = TermNumbers()
         for batch in small_batches(batches, "text", 16 << 20):
-            packed = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+            found = [features(t, terms) for t in batch.column("text").to_pylist()]
+            packed = [[np.ascontiguousarray(x).astype("<u2").tobytes() for x in part] for part in zip(*found)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array(packed, pa.binary())],
-                names=["doc_id", "quality", "packed"],
+                [*[batch.column(c) for c in ("row_id", "digest", "quality")], *[pa.array(p, pa.binary()) for p in packed]],
+                names=["row_id", "digest", "quality", "numbers", "values"],
             )
 
-    return documents.select("doc_id", "quality", "text").mapInArrow(
-        compute, "doc_id long, quality int, packed binary"
+    return documents.select("row_id", "digest", "quality", "text").mapInArrow(
+        compute, "row_id string, digest string, quality int, numbers binary, values binary"
     )
 
 
 def learn(documents: DataFrame, labels: DataFrame, seed: str = "quality") -> Model:
     """Fit on at most SAMPLE_PER_LABEL documents of each label (labels: doc_id, quality)."""
-    known = labels.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
-    ).filter("doc_id is not null and quality in (0, 1)")
-    chosen = lowest_per_class(known, "quality", SAMPLE_PER_LABEL, seed)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = texts.join(F.broadcast(chosen), "doc_id")  # two labels, SAMPLE_PER_LABEL rows each
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = known.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
+    known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    named = texts.select("doc_id", *row_name()).join(known, "doc_id").select("row_id", "digest", "quality").distinct()
+    chosen = lowest_per_class(named, "quality", SAMPLE_PER_LABEL, seed).drop("_draw")
+    # Two labels with SAMPLE_PER_LABEL different rows each; one text for each of them.
+    found = texts.select(*row_name(), "text").join(F.broadcast(chosen), ["row_id", "digest"])
+    sample = found.groupBy("row_id", "digest", "quality").agg(F.first("text").alias("text"))
     rows = sorted(feature_rows(sample).collect())
-    matrix = np.array([np.frombuffer(r["packed"], dtype=np.float32) for r in rows])
-    return fit(matrix.reshape(len(rows), TRIGRAMS + MEASURES), np.array([float(r["quality"]) for r in rows]))
+    sparse = [(np.frombuffer(r["numbers"], "<u2"), np.frombuffer(r["values"], "<u2")) for r in rows]
+    return fit(sparse, np.array([float(r["quality"]) for r in rows]))
 
 
 SCORE_SCHEMA = "doc_id long, score double"
 
 
-def _scores(model: Model, texts: list[str | None]) -> np.ndarray:
-    found = [model.scores(np.array([features(t) for t in texts[i : i + 512]])) for i in range(0, len(texts), 512)]
-    return np.concatenate(found)
+def _scores(model: Model, texts: list[str | None], terms: TermNumbers) -> np.ndarray:
+    parts = [texts[i : i + BLOCK_ROWS] for i in range(0, len(texts), BLOCK_ROWS)]
+    return np.concatenate([model.scores([features(t, terms) for t in part]) for part in parts])
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
@@ -169,8 +232,9 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = TermNumbers()
         for batch in small_batches(batches, "text", 16 << 20):
-            values = _scores(shared.value, batch.column("text").to_pylist())
+            values = _scores(shared.value, batch.column("text").to_pylist(), terms)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(values, pa.float64())], names=["doc_id", "score"]
             )
@@ -184,8 +248,9 @@ def keep_good(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = TermNumbers()
         for batch in small_batches(batches, "text", 16 << 20):
-            values = _scores(shared.value, batch.column("text").to_pylist())
+            values = _scores(shared.value, batch.column("text").to_pylist(), terms)
             yield batch.filter(pa.array(values >= 0.5))
 
     return documents.mapInArrow(kept, documents.schema)

@@ -62,16 +62,57 @@ def test_no_labels(spark, odd):
     assert {r["score"] for r in rows} == {0.5}
 
 
-def test_blocked_vote_equals_brute_force():
+def sample_model(n=60):
     rng = np.random.default_rng(2)
-    texts = [" ".join(helpers.words(random.Random(i), 20)) + "!" * (i % 5) for i in range(60)]
-    rows = np.array([quality.features(t) for t in texts])
-    labels = rng.integers(0, 2, 60).astype(float)
-    model = quality.fit(rows, labels)
-    vectors = model.vectors_of(rows)
-    for i, score in enumerate(model.scores(rows)):
-        cosines = vectors @ vectors[i]
-        k = int(min(quality.NEIGHBOURS, labels.sum(), 60 - labels.sum()))
-        nearest = sorted(range(60), key=lambda j: -cosines[j])[:k]
-        weights = np.maximum(cosines[nearest], 1e-6)
-        assert abs(score - (weights * labels[nearest]).sum() / weights.sum()) < 1e-3
+    terms = quality.TermNumbers()
+    texts = [" ".join(helpers.words(random.Random(i), 20)) + "!" * (i % 5) for i in range(n)]
+    rows = [quality.features(t, terms) for t in texts]
+    return rows, quality.fit(rows, rng.integers(0, 2, n).astype(float))
+
+
+def test_blocked_vote_equals_brute_force():
+    rows, model = sample_model()
+    labels = model.labels
+    for (numbers, values), score in zip(rows, model.scores(rows)):
+        # Whole numbers of any size, one product after the other.
+        vector = [sum(int(v) * int(model.projection[k, d]) for k, v in zip(numbers, values)) for d in range(model.projection.shape[1])]
+        length = np.sqrt((np.array(vector, dtype=np.float64) ** 2).sum())
+        unit = [int(np.rint(x / length * quality.VECTOR_UNIT)) for x in vector]
+        cosines = [sum(a * int(b) for a, b in zip(unit, v)) for v in model.vectors]
+        k = int(min(quality.NEIGHBOURS, labels.sum(), len(labels) - labels.sum()))
+        last = sorted(cosines)[-k]
+        votes = [(max(c, 1), y) for c, y in zip(cosines, labels) if c >= last]
+        assert score == sum(c * int(y) for c, y in votes) / sum(c for c, _ in votes)
+
+
+def test_scores_do_not_depend_on_the_block():
+    rows, model = sample_model()
+    whole = model.scores(rows)
+    for size in (1, 7, 33):
+        parts = [model.scores(rows[i : i + size]) for i in range(0, len(rows), size)]
+        assert np.concatenate(parts).tolist() == whole.tolist()
+    shuffled = np.random.default_rng(1).permutation(len(rows))
+    assert model.scores([rows[i] for i in shuffled]).tolist() == whole[shuffled].tolist()
+
+
+def test_repeated_rows_teach_once_and_reach_the_driver_once(spark):
+    """A third of all rows are one document, and one id has many texts and labels."""
+    docs, labels = labelled(spark, 90)
+    more = spark.createDataFrame([helpers.row(3, "copy of a good text")] * 200 + [helpers.row(5, f"text {i}") for i in range(50)], helpers.SCHEMA)
+    again = labels.unionByName(labels).unionByName(spark.createDataFrame([(7, 0, 0), (7, 1, 0)], labels.schema))
+    model = quality.learn(docs.unionByName(more), again)
+    once = quality.learn(docs.unionByName(more.distinct()), labels.filter("doc_id <> 7"))
+    assert len(model.labels) <= 90 + 1 + 50
+    assert np.array_equal(model.vectors, once.vectors) and np.array_equal(model.labels, once.labels)
+
+
+def test_words_alone_can_decide(spark):
+    rng = random.Random(3)
+    good, bad = helpers.words(rng, 30), helpers.words(rng, 30)
+    docs = [helpers.row(i, " ".join(rng.choices(good if i % 2 else bad, k=40))) for i in range(200)]
+    labels = [(i, i % 2, 0) for i in range(200)]
+    rows = quality.classify_documents(
+        spark.createDataFrame(docs, helpers.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.95 * len(held)
