@@ -1,24 +1,27 @@
 """N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
 A text is the set of its five-word shingles; equal sets are one node from the start. Every
-node has a signature of minimum hashes in each of TREES prefix tries. Nodes are candidates if
-their signatures share a prefix in any trie. The prefix starts at its full length and is
-shortened until two sets as similar as the threshold meet with the target probability. That
-follows from the threshold alone, so one depth holds for all nodes and the tries reduce to bands:
-they are neither sorted nor walked, and no value below that depth is used. Then candidates are
-verified on their whole sets.
-
-Verification goes by groups of nodes that candidates connect. A group is cut into blocks of
-bounded size, each pair of blocks is a task of its own, and a task counts common shingles with
-matrix products: no pair of documents becomes a row, and no group has to fit into one task.
-All pairs of a group are compared, also those that no trie has brought together.
+node has a signature of minimum hashes in each of TREES prefix tries. Two nodes meet in a trie if
+they share the prefix that one of them matches there. All prefixes start at LONGEST_PREFIX values
+and are shortened, a level at a time, until a partner of the threshold's similarity is met with
+the target probability: first the whole forest, as far as every node needs it, then node by node
+and trie by trie, where the shorter prefix is not crowded. A node in a crowd (as of pages with one
+template) so keeps its long prefixes in the crowded tries and is found by the others; only if
+these are too few it takes on crowds, the smallest first. Up to CROWD nodes the choice goes by the
+number of the trie and not by who is met there, as the recall would not hold otherwise.
+
+Only nodes that met are compared, on their whole sets: the nodes under one prefix are a unit, cut
+into blocks of bounded size, and each pair of blocks is a task's group, which counts common
+shingles with matrix products. A pair that meets in several tries counts in the first of them; a
+unit of the same nodes as one of an earlier trie, in which all of them met, is left out. No pair
+of documents becomes a row, and a chain of nodes that each meet the next makes many small units.
 
 Rows: a text with fewer than five words has one shingle of all its words; null, empty and
 wordless texts have none and are linked to nothing, not to each other. Case, punctuation and
-spacing do not matter. Rows are documents: repeated rows are copies of each other. A null
-doc_id is kept; a class is named by its smallest non-null doc_id, and has a null name if none of
-its documents has an id. Documents with one doc_id, or none, are told apart by a 128-bit digest of
-their texts. Empty table: empty result.
+spacing do not matter. Rows are documents: repeated rows are copies of each other, and one of
+them is compared. A null doc_id is kept; a class is named by its smallest non-null doc_id, and has a
+null name if none of its documents has an id. Documents with one doc_id, or none, are told apart by
+a 128-bit digest of their texts. Extra columns are kept by `keep_one`. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litrewise.llm.common import small_batches, sorted_groups
@@ -38,30 +42,41 @@ from litrewise.placement import settle
 
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)  # numerator and denominator of the least similarity
-TREES = 16
+TREES = 20
 LONGEST_PREFIX = 4
-TARGET_RECALL = 0.9999
+TARGET_RECALL = 0.99999
+CROWD = 64
 BLOCK_SHINGLES = 300_000
 LEAST_WEIGHT = 400  # a document counts as this many shingles at least: bounds a block's rows
 BATCH_BYTES = 16 << 20
 MOST_WORDS = 400_000
 COLUMNS = 2048
+PAIR_ROWS = 64
 
 _WORD = re.compile(r"\w+")
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def prefix_length(
+class Plan(NamedTuple):
+    """The level that every node needs, and in how many tries it needs one value less."""
+
+    length: int
+    shorter: int
+
+
+def prefix_plan(
     threshold: float = THRESHOLD[0] / THRESHOLD[1],
     trees: int = TREES,
     longest: int = LONGEST_PREFIX,
     target: float = TARGET_RECALL,
-) -> int:
-    """Shorten the matched prefix from `longest` until sets of the threshold's similarity meet
-    in one of the tries with probability `target` or more."""
+) -> Plan:
+    """Shorten the matched prefixes from `longest`, trie by trie and level by level, until sets of
+    the threshold's similarity meet in one of the tries with probability `target` or more."""
     for length in range(longest, 0, -1):
-        if 1.0 - (1.0 - threshold**length) ** trees >= target:
-            return length
+        for shorter in range(trees if length > 1 else 1):
+            missed = (1.0 - threshold**length) ** (trees - shorter) * (1.0 - threshold ** (length - 1)) ** shorter
+            if 1.0 - missed >= target:
+                return Plan(length, shorter)
     raise ValueError("too few trees for this recall")
 
 
@@ -135,17 +150,20 @@ def _text_digest() -> Column:
 
 
 def signed(documents: DataFrame, length: int) -> DataFrame:
-    """doc_id, tie, digest, node (a digest of the shingle set; null for none), n_shingles and keys."""
+    """doc_id, tie, digest, node (a digest of the shingle set; null for none), n_shingles, keys (a
+    number for the prefix of `length` values in each trie) and stems (for one value less)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            ties, digests, nodes, counts, keys = [], [], [], [], []
+            ties, digests, nodes, counts, keys, stems = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, hashes)
                 ties.append(_tie(text)), digests.append(_digest(text)), counts.append(len(found))
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(prefix_keys(signature(found), length).view(np.int64) if len(found) else None)
+                values = signature(found) if len(found) else None
+                for listed, n in ((keys, length), (stems, max(1, length - 1))):
+                    listed.append(None if values is None else prefix_keys(values, n).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -154,26 +172,65 @@ def signed(documents: DataFrame, length: int) -> DataFrame:
                     pa.array(nodes, pa.binary()),
                     pa.array(counts, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(stems, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "tie", "digest", "node", "n_shingles", "keys"],
+                names=["doc_id", "tie", "digest", "node", "n_shingles", "keys", "stems"],
             )
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return narrow.mapInArrow(
-        sign, "doc_id long, tie long, digest binary, node binary, n_shingles long, keys array<long>"
+        sign, "doc_id long, tie long, digest binary, node binary, n_shingles long, keys array<long>, stems array<long>"
     )
 
 
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """node, group for every node that shares a prefix with another; links are stars around the
-    smallest node under each prefix, never pairs."""
-    posts = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    heads = posts.groupBy("tree", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = heads.filter("n > 1").drop("n")
-    edges = posts.join(heads, ["tree", "key"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    found = components(edges)
-    roots = found.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct()
-    return found.select("node", F.col("root").alias("group")).unionByName(roots)
+UNIT = ["tree", "is_short", "prefix"]
+
+
+def shared_posts(nodes: DataFrame) -> DataFrame:
+    """node, tree, stem and n for every trie in which n > 1 nodes share the shorter prefix. Nodes
+    that share none meet nobody, by a longer prefix neither."""
+    posts = nodes.select("node", F.posexplode("stems").alias("tree", "stem"))
+    sizes = posts.groupBy("tree", "stem").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return posts.join(sizes, ["tree", "stem"]).select("node", "tree", "stem", "n")
+
+
+def shortened(posts: DataFrame, shorter: int, crowd: int) -> DataFrame:
+    """node and short: the `shorter` tries in which a node matches the shorter prefix, those that
+    are not crowded in the order of their numbers, then the least crowded."""
+    crowded = F.when(F.col("n") > crowd, F.col("n")).otherwise(0)
+    sizes = posts.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", crowded.alias("n")))).alias("sizes"))
+    tries = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.coalesce(F.element_at("sizes", t), F.lit(0)).alias("n"), t.alias("tree"))
+    )
+    chosen = F.transform(F.slice(F.array_sort(tries), 1, shorter), lambda x: x["tree"])
+    return sizes.select("node", chosen.alias("short"))
+
+
+def units_of(nodes: DataFrame, posts: DataFrame, short: DataFrame) -> DataFrame:
+    """UNIT, node and n_shingles of the members of every unit whose pairs are to be compared.
+
+    Under a shorter prefix that one node matches all of its nodes are a unit; else those under
+    each longer prefix are.
+    """
+    known = nodes.select("node", "keys", "n_shingles").join(short, "node")
+    rows = posts.select("node", "tree", "stem").join(known, "node").select(
+        "node", "n_shingles", "tree", "stem",
+        F.element_at("keys", F.col("tree") + 1).alias("key"),
+        F.array_contains("short", F.col("tree")).alias("matched"),
+    )
+    rows = settle(rows)
+    stems = rows.groupBy("tree", "stem").agg(F.max("matched").alias("is_short"))
+    rows = rows.join(stems, ["tree", "stem"])
+    rows = rows.withColumn("prefix", F.when(F.col("is_short"), F.col("stem")).otherwise(F.col("key")))
+    rows = settle(rows.select(*UNIT, "node", "n_shingles", "key", "matched"))
+    other = F.when(~F.col("matched"), F.col("key"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+    sets = rows.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"), *marks, F.min(other).alias("low"), F.max(other).alias("high"))
+    sets = sets.filter("n > 1").withColumn("all_met", F.coalesce(F.col("low") == F.col("high"), F.lit(True)))
+    same = ["n", "mark0", "mark1"]
+    first = sets.filter("all_met").groupBy(*same).agg(F.min("tree").alias("first"))
+    kept = sets.join(first, same, "left").filter("first is null or tree <= first").select(*UNIT)
+    return rows.join(kept, UNIT).select(*UNIT, "node", "n_shingles")
 
 
 def compare(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndarray:
@@ -221,12 +278,18 @@ def spanning_labels(links: np.ndarray) -> np.ndarray:
     return label
 
 
+def first_met(keys: np.ndarray, stems: np.ndarray, short: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first trie in which the nodes `a` and `b` of each pair meet (TREES if in none)."""
+    met = (keys[a] == keys[b]) | ((stems[a] == stems[b]) & (short[a] | short[b]))
+    return np.where(met.any(axis=1), met.argmax(axis=1), TREES)
+
+
 _FOUND = pa.schema([("node", pa.binary()), ("n_links", pa.int64()), ("head", pa.binary())])
 
 
 def verify(placed: DataFrame) -> DataFrame:
-    """Per node and pair of blocks: the documents it is linked with, and the head of the nodes
-    that links connect it with there (null if itself)."""
+    """Per node and pair of blocks: the documents it is linked with by pairs that first met there,
+    and the head of the nodes that such links connect it with (null if itself)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -234,13 +297,15 @@ def verify(placed: DataFrame) -> DataFrame:
         hashes = WordHashes()
         open_ = zstandard.ZstdDecompressor()
         out: list[tuple[bytes, int, bytes | None]] = []
-        for unit in sorted_groups(batches, ["group", "i", "j"]):
-            _, first = np.unique(unit.column("node").to_numpy(), return_index=True)
-            unit = unit.take(pa.array(np.sort(first)))  # a repeated row brings its text twice
+        for unit in sorted_groups(batches, [*UNIT, "i", "j"]):
             node, copies = unit.column("node").to_pylist(), unit.column("copies").to_numpy()
             sets = [shingles(open_.decompress(b.as_py()).decode(), hashes) for b in unit.column("blob")]
+            keys, stems = (np.array(unit.column(c).to_pylist(), dtype=np.int64) for c in ("keys", "stems"))
+            short = np.zeros(keys.shape, dtype=bool)
+            for k, trees in enumerate(unit.column("short").to_pylist()):
+                short[k, trees] = True
             block = unit.column("block").to_numpy()
-            i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+            i, j, tree = (unit.column(c)[0].as_py() for c in ("i", "j", "tree"))
             if i == j:
                 links = compare(sets, None)
             else:
@@ -250,6 +315,9 @@ def verify(placed: DataFrame) -> DataFrame:
                     part = compare([sets[k] for k in left], [sets[k] for k in right])
                     links[np.ix_(left, right)] = part
                     links[np.ix_(right, left)] = part.T
+            for start in range(0, len(sets), PAIR_ROWS):
+                a, b = np.nonzero(links[start : start + PAIR_ROWS])
+                links[a + start, b] = first_met(keys, stems, short, a + start, b) == tree
             counts = links @ copies
             label = spanning_labels(links)
             out += [
@@ -263,10 +331,8 @@ def verify(placed: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
 
-    dealt = placed.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
-    return dealt.select("group", "i", "j", "block", "node", "copies", "blob").mapInArrow(
-        check, "node binary, n_links long, head binary"
-    )
+    dealt = placed.repartition(*UNIT, "i", "j").sortWithinPartitions(*UNIT, "i", "j", "node")
+    return dealt.mapInArrow(check, "node binary, n_links long, head binary")
 
 
 def _id() -> Column:
@@ -293,37 +359,43 @@ def _blobs(documents: DataFrame) -> DataFrame:
     return documents.select(_id().alias("id"), "text").mapInArrow(squeeze, "id long, digest binary, blob binary")
 
 
-def blocks_of(nodes: DataFrame, groups: DataFrame, block_shingles: int) -> DataFrame:
-    """Each candidate node with its group, block and the pairs of blocks it takes part in."""
+def blocks_of(units: DataFrame, block_shingles: int) -> DataFrame:
+    """Each member of a unit with its block and the pairs of blocks it takes part in."""
     weight = F.greatest("n_shingles", F.lit(LEAST_WEIGHT))
-    members = nodes.join(groups, "node")
-    sizes = members.groupBy("group").agg(F.sum(weight).alias("weight"))
-    n_blocks = F.ceil(F.col("weight") / block_shingles).cast("int")
-    placed = members.join(sizes.select("group", n_blocks.alias("n_blocks")), "group")
+    sizes = units.groupBy(*UNIT).agg(F.ceil(F.sum(weight) / block_shingles).cast("int").alias("n_blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int")
-    placed = placed.withColumn("block", block)
+    placed = units.join(sizes, UNIT).withColumn("block", block)
     return placed.select(
-        "node", _id().alias("id"), "digest", "copies", "group", "block",
-        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"),
+        *UNIT, "node", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     ).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
 
 
+def members_of(nodes: DataFrame, short: DataFrame, documents: DataFrame) -> DataFrame:
+    """What a comparison needs of every node that shares a prefix: one text, and where it meets.
+    Rows of one id and text are one blob before any of them is moved."""
+    wanted = nodes.join(short, "node").select("node", _id().alias("id"), "digest", "copies", "keys", "stems", "short")
+    blobs = _blobs(documents).groupBy("id", "digest").agg(F.first("blob").alias("blob"))
+    return settle(wanted.join(blobs, ["id", "digest"]).drop("id", "digest"))
+
+
 def _name() -> Column:
     """The smallest of some documents: any id comes before none, and texts go by digest."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest"))
 
 
-def named_documents(documents: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def named_documents(documents: DataFrame, block_shingles: int = BLOCK_SHINGLES, crowd: int = CROWD) -> DataFrame:
     """What `join_documents` has, and digest and `names`: whether the class has its name from
     this doc_id with this text (as all rows that are linked with nothing have)."""
-    rows = settle(signed(documents, prefix_length()))
+    plan = prefix_plan()
+    rows = settle(signed(documents, plan.length))
     nodes = rows.filter("node is not null").groupBy("node").agg(
-        _name().alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles")
+        _name().alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("keys", "stems", "n_shingles")]
     )
-    nodes = settle(nodes.select("node", "first.doc_id", "first.digest", "copies", "keys", "n_shingles"))
-    groups = candidate_groups(nodes)
-    units = blocks_of(nodes.drop("keys"), groups, block_shingles)
-    found = settle(verify(units.join(_blobs(documents), ["id", "digest"])))
+    nodes = settle(nodes.select("node", "first.doc_id", "first.digest", "copies", "keys", "stems", "n_shingles"))
+    posts = settle(shared_posts(nodes))
+    short = settle(shortened(posts, plan.shorter, crowd))
+    units = blocks_of(settle(units_of(nodes, posts, short)), block_shingles)
+    found = settle(verify(units.join(members_of(nodes, short, documents), "node")))
     linked = found.groupBy("node").agg(F.sum("n_links").alias("others"))
     roots = components(found.filter("head is not null").select(F.col("node").alias("a"), F.col("head").alias("b")))
     known = nodes.select("node", "doc_id", "digest", "copies").join(linked, "node", "left").join(roots, "node", "left")
@@ -364,7 +436,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
         F.struct(*documents.columns).alias("_row"), missing, _id().alias("_id"), _text_digest().alias("_digest")
     )
     kept = keyed.join(linked.distinct(), key, "left").filter(F.coalesce("_names", F.lit(True)))
-    # Repeated rows of a naming document are copies as well; what is linked with nothing stays.
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy("_id"))
-    first = kept.withColumn("_turn", turn).filter(F.col("_names").isNull() | (F.col("_turn") == 1))
-    return first.select("_row.*")
+    # Repeated rows of a naming document are copies as well; what is linked with nothing stays,
+    # each row under a number of its own. Copies are merged where they are.
+    own = F.when(F.col("_names").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return kept.withColumn("_own", own).groupBy(*key, "_own").agg(F.min("_row").alias("_row")).select("_row.*")

@@ -36,10 +36,10 @@ def brute_force(rows):
     return sorted(((rows[a][0], names[root(a)], links[a]) for a in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize("block", [forest.BLOCK_SHINGLES, 500])
-def test_equals_brute_force(prose, block):
+@pytest.mark.parametrize("block,crowd", [(forest.BLOCK_SHINGLES, forest.CROWD), (500, 1)])
+def test_equals_brute_force(prose, block, crowd):
     rows = [(r["doc_id"], r["text"]) for r in prose.collect()]
-    got = forest.join_documents(prose, block).collect()
+    got = forest.named_documents(prose, block, crowd).collect()
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute_force(rows)
     assert any(r["n_links"] > 2 for r in got)
 
@@ -93,11 +93,83 @@ def test_rows_linked_with_nothing_stay(spark):
     assert kept_of(spark, [(2**63 - 1, a), (None, a), (None, b)]) == [(2**63 - 1, a)]
 
 
-def test_prefix_is_shortened_to_the_target():
-    assert forest.prefix_length(0.8, trees=16, longest=6, target=0.999) == 4
-    assert forest.prefix_length(0.8, trees=16, longest=6, target=0.9999) == 3
+def test_prefixes_are_shortened_to_the_target():
+    def recall(plan, trees):
+        missed = (1 - 0.8**plan.length) ** (trees - plan.shorter) * (1 - 0.8 ** (plan.length - 1)) ** plan.shorter
+        return 1 - missed
+
+    for trees, longest, target in ((16, 6, 0.999), (16, 6, 0.9999), (20, 4, 0.99999), (64, 8, 0.9999), (6, 4, 0.99)):
+        plan = forest.prefix_plan(0.8, trees, longest, target)
+        assert recall(plan, trees) >= target
+        if plan.shorter:
+            assert recall(forest.Plan(plan.length, plan.shorter - 1), trees) < target
+        if plan.length < longest:
+            assert recall(forest.Plan(plan.length + 1, trees - 1), trees) < target
     with pytest.raises(ValueError):
-        forest.prefix_length(0.5, trees=1, longest=3, target=0.99)
+        forest.prefix_plan(0.5, trees=1, longest=3, target=0.99)
+
+
+def test_crowded_tries_keep_their_long_prefix(spark):
+    posts = [(1, t, 0, 500 - t if t % 2 else 3) for t in range(forest.TREES)]  # odd tries are crowded
+    posts += [(2, t, 0, 2) for t in (0, 5)]
+    posts += [(3, t, 0, 1000 - 10 * t) for t in range(forest.TREES)]
+    frame = spark.createDataFrame(posts, "node long, tree int, stem long, n long")
+    short = {r["node"]: r["short"] for r in forest.shortened(frame, 6, 64).collect()}
+    assert short[1] == [0, 2, 4, 6, 8, 10]
+    assert short[2] == [0, 1, 2, 3, 4, 5]  # not by who is met there
+    assert sorted(short[3]) == list(range(forest.TREES - 6, forest.TREES))
+    short = {r["node"]: r["short"] for r in forest.shortened(frame, 12, 64).collect()}
+    assert short[1] == [*range(0, 20, 2), 19, 17]
+
+
+def test_near_pairs_are_met(spark):
+    """Pairs of 0.8 to 0.85, of which a forest may miss one in a hundred at most; also in a crowd."""
+    rng = random.Random(14)
+    rows = []
+    for k in range(300):
+        words = helpers.words(rng, 130)
+        near = list(words)
+        for place in rng.sample(range(10, 120, 12), 2):
+            near[place] = f"new{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    docs = spark.createDataFrame([helpers.row(*r) for r in rows], helpers.SCHEMA).repartition(4)
+    hashes = forest.WordHashes()
+    sets = {i: set(forest.shingles(t, hashes).tolist()) for i, t in rows}
+    linked = [i for i in range(0, 600, 2) if 5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1])]
+    assert len(linked) > 250
+    for crowd in (forest.CROWD, 1):
+        found = {r["doc_id"]: r["class_id"] for r in forest.named_documents(docs, crowd=crowd).collect()}
+        assert sum(found[i + 1] == i for i in linked) >= 0.99 * len(linked)
+
+
+def test_a_chain_of_pages_is_no_group(spark):
+    """Each page has half of its words in common with the next: what is compared grows with their
+    number and not with its square."""
+    rng = random.Random(15)
+    work = []
+    for n in (200, 400):
+        parts = [" ".join(helpers.words(rng, 60)) for _ in range(n + 1)]
+        rows = [helpers.row(i, f"{parts[i]} {parts[i + 1]}") for i in range(n)]
+        docs = spark.createDataFrame(rows, helpers.SCHEMA).repartition(4)
+        plan = forest.prefix_plan()
+        nodes = forest.signed(docs, plan.length).withColumns({"copies": forest.F.lit(1)})
+        posts = forest.settle(forest.shared_posts(nodes))
+        units = forest.units_of(nodes, posts, forest.shortened(posts, plan.shorter, forest.CROWD))
+        sizes = [r["n"] for r in units.groupBy(*forest.UNIT).agg(forest.F.count("*").alias("n")).collect()]
+        assert max(sizes, default=0) <= 4
+        work.append(sum(k * k for k in sizes))
+    assert forest.join_documents(docs).filter("n_links > 0").count() == 0
+    assert work[1] <= 4 * max(work[0], 20)
+
+
+def test_one_text_without_ids_is_a_third_of_all_rows(spark):
+    a, b, c = near_texts(9)
+    rows = [(None, a)] * 300 + [(i, f"{t} {i // 100}") for i, t in enumerate([b, c] * 150)] + [(None, f"own text {i} " * 4) for i in range(300)]
+    docs = spark.createDataFrame([helpers.row(*r) for r in rows], helpers.SCHEMA).repartition(4)
+    got = forest.join_documents(docs).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute_force(rows)
+    kept = [r["doc_id"] for r in forest.keep_one(docs).collect()]
+    assert len(kept) == len({r["class_id"] for r in got if r["class_id"] is not None}) + 300
 
 
 def test_products_count_exactly():
