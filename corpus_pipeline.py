@@ -1,8 +1,11 @@
 """From raw documents to sampled token pieces, in five stages.
 
 Each stage works on all rows that the stage before kept, written as Parquet and read again.
-All but the last return the columns of `documents`. Null and empty texts pass the first stage
-if the classifier takes them for good, are never anyone's near copies, and end with no pieces.
+All but the last return the columns of `documents`, extra ones of any other name among them.
+Null and empty texts pass the first stage if the classifier takes them for good, are never anyone's
+near copies, and end with no pieces. Of repeated rows one stays; equal scores are treated alike,
+and of near copies with one id the smallest text digest names the class. A table without rows
+gives none.
 """
 
 from __future__ import annotations
