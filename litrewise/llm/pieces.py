@@ -8,7 +8,8 @@ a hash of the row's key, the word and the step: the same row is always cut the s
 Pieces join spaces with what follows them but never the other way round, so the lattice falls
 apart at the start of every run of spaces. Those units are filtered once for each distinct
 unit of a batch, all units together, one array operation per place; every occurrence is then
-sampled on its own.
+sampled on its own. What lies far behind a unit's start (text without spaces) goes place by
+place instead: few units are so long, and array calls would cost more than the sums.
 
 Characters without a piece are written as byte pieces, as is a literal space mark, so that
 decoding gives back exactly the text. Rows: a null text has no ids (null) and decodes to null;
@@ -19,6 +20,7 @@ rows with equal keys and texts have equal ids. An empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,12 +40,18 @@ SPACE = "▁"
 SHARPNESS = 1.0
 SEED = 20_011
 BATCH_BYTES = 1 << 20
-# How many distinct units a Python worker remembers between batches (300 bytes each or so).
+# How many distinct units, and characters in them, a Python worker remembers between batches
+# (300 bytes a unit, 50 a character or so).
 MOST_UNITS = 120_000
+MOST_PLACES = 2_000_000
+# How far from a unit's start (in sampling: from its end) all units are taken together.
+TOGETHER = 4000
+WINDOW = 1 << 16
 
 _UNIT = re.compile(r" *[^ ]+| +")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _BASE = np.uint64(0x100000001B3)
+_64_BITS = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
@@ -103,6 +111,13 @@ def mix_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_number(x: int) -> int:
+    """`mix_bits` of one number."""
+    x = ((x ^ (x >> 30)) * int(_M2)) & _64_BITS
+    x = ((x ^ (x >> 27)) * int(_M3)) & _64_BITS
+    return x ^ (x >> 31)
+
+
 def row_seed(key: int | None) -> int:
     digest = hashlib.blake2b(f"{SEED}/{key}".encode(), digest_size=8).digest()
     return int.from_bytes(digest, "little")
@@ -165,21 +180,46 @@ class Lattice:
         # alpha[p]: log weight of all ways from the unit's start to just behind character p.
         alpha = np.full(n + 1, -np.inf)
         by_depth = np.argsort(depth, kind="stable")
-        edges = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
+        together = max(TOGETHER, vocabulary.longest)
+        deepest = min(int(depth.max(initial=0)), together)
+        edges = np.searchsorted(depth[by_depth], np.arange(1, deepest + 2))
         value = np.where(at_origin, weights, 0.0)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             some = by_depth[a:b]
             later = some[~at_origin[some]]
             value[later] = alpha[self.start[later] - 1] + weights[later]
             np.logaddexp.at(alpha, end[some] - 1, value[some])
+        for unit in np.flatnonzero(self.lengths > together).tolist():
+            behind = self.first[unit] + np.array([together, self.lengths[unit]])
+            self._filter_on(*np.searchsorted(end, behind, side="right").tolist(), end, weights, alpha, value)
         total = np.cumsum(np.exp(value - alpha[end - 1]))
         self.group = np.searchsorted(end, np.arange(1, n + 2))  # first arc behind character p
         below = np.concatenate([[0.0], total])[self.group[:-1]]
         self.upto = total - below[end - 1]
 
+    def _filter_on(
+        self, a: int, b: int, end: np.ndarray, weights: np.ndarray, alpha: np.ndarray, value: np.ndarray
+    ) -> None:
+        """Go on with the arcs `a` to `b` of one unit, in the order of their ends."""
+        for a0 in range(a, b, WINDOW):
+            arcs = slice(a0, min(a0 + WINDOW, b))
+            low = int(self.start[arcs].min()) - 1
+            high = int(end[arcs.stop - 1])
+            near = alpha[low:high].tolist()
+            ways = []
+            for s, e, w in zip(
+                (self.start[arcs] - 1 - low).tolist(), (end[arcs] - 1 - low).tolist(), weights[arcs].tolist()
+            ):
+                way, so_far = near[s] + w, near[e]
+                ways.append(way)
+                near[e] = max(way, so_far) + math.log1p(math.exp(-abs(way - so_far)))
+            alpha[low:high] = near
+            value[arcs] = ways
+
 
 class Lattices:
-    """Lattices of the units met so far; forgotten when they are more than MOST_UNITS."""
+    """Lattices of the units met so far; forgotten when they are more than MOST_UNITS or have
+    more than MOST_PLACES characters."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
@@ -220,6 +260,24 @@ class Lattices:
             going = going[(u[going] > self.upto[now]) & (now < last[going])]
         return arc
 
+    def draw_on(self, place: int, begin: int, base: int, step: int) -> np.ndarray:
+        """What further draws take from `place` back to `begin`, after `step` draws."""
+        taken = []
+        while place >= begin:
+            low = max(begin, place - WINDOW)
+            group = self.group[low : place + 2].tolist()
+            first = group[0]
+            starts, piece, upto = (x[first : group[-1]].tolist() for x in (self.start, self.piece, self.upto))
+            while place >= low:
+                step += 1
+                u = (mix_number((base + step * int(_M1)) & _64_BITS) >> 11) * 2.0**-53
+                arc, last = group[place - low] - first, group[place - low + 1] - 1 - first
+                while arc < last and u > upto[arc]:
+                    arc += 1
+                taken.append(piece[arc])
+                place = starts[arc] - 1
+        return np.array(taken, dtype=np.int64)
+
 
 _kept: list[Lattices] = []
 
@@ -233,7 +291,7 @@ def worker_lattices(vocabulary: Vocabulary) -> Lattices:
 
 def sample(texts: list[str], keys: list[int | None], lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
     """Sampled ids of all texts, one after the other, and the offsets of each text's ids."""
-    if len(lattices.known) > MOST_UNITS:
+    if len(lattices.known) > MOST_UNITS or len(lattices.group) > MOST_PLACES:
         lattices.forget()
     known = lattices.known
     which: list[int] = []
@@ -258,7 +316,7 @@ def sample(texts: list[str], keys: list[int | None], lattices: Lattices) -> tupl
         active = np.arange(len(unit))
         steps = np.zeros(len(unit), dtype=np.int64)
         taken: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(active):
+        while len(active) and len(taken) < TOGETHER:
             bits = mix_bits(base + np.uint64(len(taken) + 1) * _M1)
             u = (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53
             arc = lattices.draw(place, u)
@@ -267,10 +325,17 @@ def sample(texts: list[str], keys: list[int | None], lattices: Lattices) -> tupl
             going = np.flatnonzero(place >= begin)
             steps[active] = len(taken)
             active, place, base, begin = active[going], place[going], base[going], begin[going]
+    rest = []
+    for i, *at in zip(active.tolist(), place.tolist(), begin.tolist(), base.tolist()):
+        rest.append((i, lattices.draw_on(*at, len(taken))))
+        steps[i] += len(rest[-1][1])
     ends = np.cumsum(steps)
     ids = np.empty(int(ends[-1]), dtype=np.int64)
     for step, (some, pieces) in enumerate(taken):
         ids[ends[some] - 1 - step] = pieces
+    for i, pieces in rest:
+        stop = ends[i] - len(taken)
+        ids[stop - len(pieces) : stop] = pieces[::-1]
     offsets = np.concatenate([np.concatenate([[0], ends])[first_unit], [ends[-1]]])
     return spell_bytes(ids, offsets, lattices.vocabulary)
 

@@ -84,3 +84,36 @@ def test_long_unit(vocabulary):
     text = "theand" * 20_000
     ids, _ = pieces.sample([text], [1], pieces.Lattices(vocabulary))
     assert pieces.decode(ids.tolist(), vocabulary.pieces) == text
+
+
+def test_places_one_by_one_equal_all_together(vocabulary, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [
+        "".join(rng.choice(list("thean▁漢字ü😀 "), p=[0.1] * 9 + [0.099, 0.001], size=n)) for n in (1, 40, 700, 3000, 0, 5000)
+    ]
+    keys = list(range(len(texts)))
+    monkeypatch.setattr(pieces, "TOGETHER", 10_000)
+    want = pieces.sample(texts, keys, pieces.Lattices(vocabulary))
+    monkeypatch.setattr(pieces, "WINDOW", 50)
+    for together in (1, 100):
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        got = pieces.sample(texts, keys, pieces.Lattices(vocabulary))
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    ids, offsets = want
+    assert [pieces.decode(ids[a:b].tolist(), vocabulary.pieces) for a, b in zip(offsets, offsets[1:])] == texts
+
+
+def test_remembered_characters_are_bounded(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "MOST_PLACES", 5000)
+    lattices = pieces.Lattices(vocabulary)
+    for key in range(9):
+        text = f"{key}the" * 1000
+        ids, _ = pieces.sample([text], [key], lattices)
+        assert pieces.decode(ids.tolist(), vocabulary.pieces) == text
+        assert len(lattices.group) <= 5000 + 2 * len(text)
+
+
+def test_half_a_million_characters_without_a_space(vocabulary):
+    text = "漢字かな" * 125_000
+    ids, _ = pieces.sample([text], [1], pieces.Lattices(vocabulary))
+    assert pieces.decode(ids.tolist(), vocabulary.pieces) == text
