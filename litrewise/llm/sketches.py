@@ -6,7 +6,8 @@ the whole, and two sketches estimate resemblance, containment and distinct shing
 
 Rows: a null text counts as empty; a text of one to four words has one shingle of all its
 words; a text without words has an empty sketch, which resembles empty sketches only.
-Equal texts have equal sketches. An empty table gives an empty result.
+Equal texts have equal sketches. Rows of one id, or without, follow each other by checksum and
+text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ SHINGLE_WORDS = 5
 WORDS = r"[\p{L}\p{N}]+"
 ROWS_PER_PART = 500
 COARSE_PARTS = 1000
-MAX_PARTS = 100_000
+MAX_PARTS = 1_000_000  # above 500 million rows a part is a millionth of the table
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -96,63 +97,78 @@ def written(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def part_of(documents: DataFrame, rows_per_part: int = ROWS_PER_PART) -> Column:
-    """A number that rises with doc_id and cuts the table into parts of about equal size.
+def tie_of(documents: DataFrame, most: int) -> Column:
+    """What parts may cut rows of one id by: the checksum of the text if some id (or the lack of
+    one) has more than `most` rows, else a constant, so that the passes that find the parts read
+    no texts."""
+    counts = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    crowded = (counts.agg(F.max("n")).first()[0] or 0) > most
+    return F.crc32(F.col("text").cast("binary")) if crowded else F.lit(0).cast("long")
+
+
+def part_of(documents: DataFrame, tie: Column, rows: int, rows_per_part: int = ROWS_PER_PART) -> Column:
+    """A number that rises with (doc_id, tie) and cuts the table into parts of about equal size.
 
     Quantiles (at most COARSE_PARTS numbers) cut it coarsely, even steps between two
-    quantiles finely. Null ids come last.
+    quantiles finely. Null ids come last, as if they were one more than the largest.
     """
-    rows = documents.count()
     parts = max(1, min(MAX_PARTS, -(-rows // rows_per_part)))
     coarse = min(parts, COARSE_PARTS)
     fine = -(-parts // coarse)
+    largest = documents.agg(F.max("doc_id")).first()[0] or 0
+    # Rounding keeps the order: beyond 2 ** 53 a fraction never reaches the next number.
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float(largest) + 1.0)) + tie / F.lit(2.0**32)
     at = [i / coarse for i in range(coarse + 1)]
-    found = documents.select(F.percentile_approx("doc_id", at, 10_000).alias("q")).first()["q"]
+    found = documents.select(F.percentile_approx(place, at, 10_000).alias("q")).first()["q"]
     if not found:
         return F.lit(0).cast("long")
-    bounds = sorted({int(b) for b in found})
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    doc_id = F.col("doc_id").cast("long")
+    bounds = sorted(set(found))
+    edges = F.array(*[F.lit(b) for b in bounds])
 
     def placed(n: Column) -> Column:
         low = F.element_at(edges, F.greatest(n, F.lit(1)))
         high = F.element_at(edges, F.least(n + 1, F.lit(len(bounds))))
-        width = F.greatest(high - low, F.lit(1)).cast("double")
-        step = F.floor((doc_id - low).cast("double") / width * F.lit(float(fine)))
+        width = F.when(high > low, high - low).otherwise(F.lit(1.0))
+        step = F.floor((place - low) / width * F.lit(float(fine)))
         return n.cast("long") * fine + F.least(F.greatest(step, F.lit(0)), F.lit(fine - 1))
 
-    count = F.size(F.filter(edges, lambda b: b <= doc_id))
-    return F.coalesce(bound(count, placed), F.lit((len(bounds) + 1) * fine).cast("long"))
+    return bound(F.size(F.filter(edges, lambda b: b <= place)), placed)
 
 
 def with_next(documents: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """doc_id, text and next_text: the text of the next document in the order of doc_id (then
-    of text), the first after the last.
+    """doc_id, text, own (the text's sketch), next_text and following: text and sketch of the next
+    document in the order of doc_id (without one last), then of the text's CRC-32, then of the
+    text; the first after the last.
 
     No task gets the whole order: a part is ranked alone, and the first document of each part
-    (a few narrow rows, found from the ids) is sent to the part before as a guest.
+    (a few narrow rows, found from the ids) is sent to the part before as a guest. Rows without
+    id, and those of a crowded id, are cut into parts as well; only rows equal in both id and
+    checksum stay together. Each text is sketched once, where its part is.
     """
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    docs = docs.withColumn("part", part_of(docs, rows_per_part))
-    firsts = docs.groupBy("part").agg(F.min("doc_id").alias("first_id"))
-    order = Window.orderBy("part")  # one row per part, MAX_PARTS at most
+    rows = docs.count()
+    tie = tie_of(docs, max(rows_per_part, -(-rows // MAX_PARTS)))
+    docs = docs.withColumn("part", part_of(docs, tie, rows, rows_per_part)).withColumn("tie", tie)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
+    firsts = docs.groupBy("part").agg(F.min(key).alias("first"))
+    order = Window.orderBy("part")  # one row per part, a few times MAX_PARTS at most
     last = F.max("part").over(Window.partitionBy())
-    hosts = firsts.select(
-        "part", "first_id", F.coalesce(F.lag("part").over(order), last).alias("host")
-    )
+    hosts = firsts.select("part", "first", F.coalesce(F.lag("part").over(order), last).alias("host"))
     marked = docs.join(F.broadcast(hosts), "part", "left")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_id"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
     own = F.struct(F.col("part").alias("at"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("host").alias("at"), F.lit(True).alias("guest"))
     places = F.when(is_first, F.array(own, guest)).otherwise(F.array(own))
     dealt = marked.select("doc_id", "text", F.explode(places).alias("place")).select(
         "doc_id", "text", "place.*"
     )
-    inside = Window.partitionBy("at").orderBy("guest", F.col("doc_id").asc_nulls_last(), "text")
+    sketched = dealt.repartition("at").withColumn("own", sketch(F.col("text")))
+    checksum = F.crc32(F.col("text").cast("binary"))
+    inside = Window.partitionBy("at").orderBy("guest", F.col("doc_id").asc_nulls_last(), checksum, "text")
     return (
-        dealt.withColumn("next_text", F.lead("text").over(inside))
+        sketched.withColumns({"next_text": F.lead("text").over(inside), "following": F.lead("own").over(inside)})
         .filter(~F.col("guest"))
         .drop("at", "guest")
     )
@@ -173,9 +189,9 @@ def fingerprint_documents(documents: DataFrame, rows_per_part: int = ROWS_PER_PA
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        sketch(F.col("text")).alias("own"),
+        "own",
         sketch(F.col("edited")).alias("changed"),
-        sketch(F.col("next_text")).alias("following"),
+        "following",
     )
     return rows.select(
         "doc_id",

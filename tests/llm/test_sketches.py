@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,31 @@ def test_one_and_none(spark, empty):
     one = spark.createDataFrame([helpers.row(1, "abcdefgh")], helpers.SCHEMA)
     assert sketches.fingerprint_documents(one).first()["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
     assert sketches.fingerprint_documents(empty).count() == 0
+
+
+@pytest.mark.parametrize("per_part", [5, 40])
+def test_rows_without_id_are_cut_into_parts(spark, per_part):
+    rng = __import__("random").Random(2)
+    rows = [helpers.row(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(helpers.words(rng, 12))) for i in range(300)]
+    docs = spark.createDataFrame(rows, helpers.SCHEMA)
+    narrow = docs.select("doc_id", "text")
+    tie = sketches.tie_of(narrow, per_part)
+    sizes = [r["count"] for r in narrow.groupBy(sketches.part_of(narrow, tie, 300, per_part).alias("p")).count().collect()]
+    assert max(sizes) <= 4 * per_part
+    ordered = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, zlib.crc32(r["text"].encode()), r["text"]))
+    want = [hashlib.sha256(e.encode()).hexdigest() for e in edited(ordered)]
+    got = [g["edited_sha256"] for g in sketches.fingerprint_documents(docs, per_part).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_large_ids_keep_their_order(spark):
+    ids = [2**53 + k for k in range(6)] + [2**62 + k for k in range(6)] + [-(2**62) + k for k in range(6)]
+    docs = spark.createDataFrame([helpers.row(i, f"text of the row {i} " * 3) for i in ids], helpers.SCHEMA)
+    rows = order(docs.collect())
+    want = {r["doc_id"]: hashlib.sha256(e.encode()).hexdigest() for r, e in zip(rows, edited(rows))}
+    assert {g["doc_id"]: g["edited_sha256"] for g in sketches.fingerprint_documents(docs, 1).collect()} == want
+
+
+def test_each_text_is_sketched_once_beside_its_edited_form(prose):
+    plan = sketches.fingerprint_documents(prose)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
