@@ -10,8 +10,9 @@ Equal strings of `LENGTH` bytes are found in four steps.
    on both sides of the shuffle: later ones are repeats as a whole.
 3. Indexing. A task joins its different runs into one text, builds the suffix array and the
    Burrows-Wheeler transform, and expands intervals breadth-first by backward extension:
-   common prefixes of 1, 2, 3, ... bytes follow from each other, intervals of one row are
-   dropped, and the expansion stops at LENGTH. What is left are the classes of equal windows.
+   common prefixes of 1, 2, 4, ... bytes follow from each other, each interval extended by as
+   many symbols as it has, intervals of one row are dropped, and the expansion stops at LENGTH.
+   What is left are the classes of equal windows.
 4. In each class all but the earliest window are removed, as byte ranges of their documents.
 
 A name with more different text than NAME_BYTES is not indexed. Its windows become rows, which
@@ -347,31 +348,34 @@ def equal_windows(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     last_column = np.append(symbols[order - 1], symbols[-1])
     # Backward extension takes a row whose last column is c to the row that begins with c. Here
     # each row knows the row it comes from, so that all intervals are extended by all symbols in
-    # one pass that reads memory in order.
-    inner_row = row_of[order + 1]
-    first_column = last_column[inner_row]
-    # Interval of each row: number of its first row; -1 for dropped rows.
-    interval = np.zeros(n + 1, dtype=np.int32)
-    interval[n] = -1
+    # one pass.
+    first_column = last_column[row_of[order + 1]]
     rows = np.flatnonzero(first_column > 0).astype(np.int32)
-    first = first_column[rows]
-    inner = inner_row[rows]
-    for size in range(length):
-        if size == 1:  # any row goes on from the empty string, none goes on from a separator
-            interval[:n][first_column == 0] = -1
-        now = interval[inner]
+    # Interval of each row: number of its first row; -1 for dropped rows.
+    interval = np.full(n + 1, -1, dtype=np.int32)
+    now, ahead, size = first_column[rows], None, 1
+    while True:
         starts = np.ones(len(rows), dtype=bool)
-        if len(rows) > 1:
-            starts[1:] = (now[1:] != now[:-1]) | (first[1:] != first[:-1]) | (now[1:] < 0)
+        starts[1:] = now[1:] != now[:-1]
+        if ahead is not None:
+            starts[1:] |= (ahead[1:] != ahead[:-1]) | (ahead[1:] < 0)
         ends = np.ones(len(rows), dtype=bool)
         ends[:-1] = starts[1:]
         keep = ~(starts & ends)
         interval[rows] = -1
-        rows, inner, first, starts = rows[keep], inner[keep], first[keep], starts[keep]
+        rows, starts = rows[keep], starts[keep]
         if not len(rows):
             break
         heads = np.flatnonzero(starts)
-        interval[rows] = np.repeat(rows[heads], np.diff(np.append(heads, len(rows))))
+        now = np.repeat(rows[heads], np.diff(np.append(heads, len(rows))))
+        interval[rows] = now
+        if size == length:
+            break
+        # The next strings begin with one of `size` symbols and end with another, `step` behind:
+        # the interval of the latter is extended by `step` symbols at once.
+        step = min(size, length - size)
+        ahead = interval[row_of[order[rows] + step]]
+        size += step
     return order[rows], interval[rows]
 
 

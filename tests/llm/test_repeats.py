@@ -92,6 +92,27 @@ def test_index_equals_brute_force():
                 assert (mask == want).all()
 
 
+def test_intervals_are_extended_by_doubling(monkeypatch):
+    """Windows of 100 bytes take 8 rounds of expansion, not 100, with the classes of plain comparison."""
+    rng = np.random.default_rng(5)
+    parts = [bytes(rng.integers(97, 99, n).tolist()) for n in (130, 99, 250, 101)]
+    text = b"".join(parts[i] + b"|" for i in (0, 1, 2, 0, 3, 2, 1, 3))
+    symbols = np.concatenate([[0], np.frombuffer(text, dtype=np.uint8) % 124]).astype(np.int16)
+    rounds, repeat = [], np.repeat
+    monkeypatch.setattr(np, "repeat", lambda *a: rounds.append(1) or repeat(*a))
+    places, classes = repeats.equal_windows(symbols, 100)
+    monkeypatch.undo()
+    windows = {}
+    for at in range(len(text) - 99):
+        if b"|" not in text[at : at + 100]:
+            windows.setdefault(text[at : at + 100], []).append(at + 1)
+    found = {}
+    for place, of in zip(places.tolist(), classes.tolist()):
+        found.setdefault(of, []).append(place)
+    assert sorted(map(sorted, found.values())) == sorted(w for w in windows.values() if len(w) > 1)
+    assert len(found) == 31 + 151 + 2 and len(rounds) <= 8
+
+
 @pytest.mark.parametrize("name_bytes", [1, 150, 1000])
 def test_large_names_go_by_windows(prose, name_bytes):
     rows = [(r["doc_id"], r["text"]) for r in prose.collect()]
