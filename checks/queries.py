@@ -683,8 +683,10 @@ def model_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models are compared for one target fuel, whose rows alone are read: that is the feature."""
     which = forecasting.FEATURES_A
-    fuel = prepare.filter_fuel(with_index(spark, sf_dir), FUEL)
-    rows = forecasting.feature_table(fuel, which, order=ORDER)
+    observed, found = indexed.surveyed_observations(gas_raw(spark, sf_dir))
+    fuel = prepare.filter_fuel(indexed.index_surveyed(observed, found.daily, first_year=FIRST_YEAR), FUEL)
+    sizes = prepare.filter_fuel(found.sizes, FUEL)
+    rows = forecasting.feature_table(fuel, which, sizes, order=ORDER)
     rows = settle(rows.select(*KEYS, "prix", *which.columns))
     train, test = splits.split_by_date(rows, CUT)
     return forecasting.compare_models(train, test, forecasting.default_models(), which.columns)

@@ -56,6 +56,37 @@ def test_full_size_trees_fit_well(spark):
         assert metrics.evaluate(predicted).first()["r2"] > 0.9
 
 
+def test_training_rows_leave_the_memory_to_the_trees(spark, monkeypatch):
+    """The rows of a fit are kept once, on disk, and dropped at its end."""
+    levels = []
+    persist = type(spark.range(0)).persist
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda df, level: levels.append((df, level)) or persist(df, level))
+    forecasting.fit(linear(spark), forecasting.random_forest(trees=2, depth=2), ["a", "b"])
+    [(kept, level)] = levels
+    assert level.useDisk and not level.useMemory
+    assert not kept.storageLevel.useDisk
+
+
+def test_comparison_counts_series_in_the_survey(spark, monkeypatch, tmp_path):
+    """The compared fuel's series are not counted by a pass of their own."""
+    from checks import queries
+
+    def counted(df, series=None):
+        raise AssertionError("a pass that counts the series")
+
+    rows = [(o, 1, o % 3, 0, "A", DAY + dt.timedelta(-9500 + o // 3 * 2), 100.0 + o % 7) for o in range(1, 6000)]
+    schema = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_linestatus string, day date, l_extendedprice double"
+    items = spark.createDataFrame(rows, schema).withColumn("l_shipdate", F.col("day").cast("timestamp")).drop("day")
+    others = items.limit(40).withColumns({"l_partkey": F.col("l_orderkey") % 2 + 1, "l_linenumber": F.lit(2)})
+    items.unionByName(others).write.parquet(str(tmp_path / "lineitem.parquet"))
+    fuels = [(0, queries.FUEL), (1, "ECONOMY"), (2, "LARGE")]
+    spark.createDataFrame(fuels, "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k, k) for k in range(3)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(forecasting, "series_sizes", counted)
+    found = {r["model"] for r in queries.registered()["model_comparison"](spark, str(tmp_path)).collect()}
+    assert found == {"linear_regression", "random_forest", "boosted_trees"}
+
+
 def test_forest_export(spark, tmp_path):
     rows = linear(spark).withColumns({"name": F.lit("E10"), "cp": F.lit(1000)})
     train, test = splits.split_by_date(rows, "2023-06-01")
