@@ -133,10 +133,14 @@ def fit(train: DataFrame, estimator: Estimator, feature_cols: Sequence[str]) ->
 def fit_all(
     train: DataFrame, estimators: Mapping[str, Estimator], feature_cols: Sequence[str]
 ) -> dict[str, PipelineModel]:
-    """Fit several estimators on one training frame that is computed once."""
+    """Fit several estimators on one training frame that is computed once.
+
+    It is kept on disk: the estimators read it a few times only, and need the executors' memory
+    for the rows they bin and go over at every level of a tree.
+    """
     labels = {e.getLabelCol() for e in estimators.values()}
     narrow = train.select(*feature_cols, *sorted(labels - set(feature_cols)))
-    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = narrow.persist(StorageLevel.DISK_ONLY)
     try:
         models = {}
         for name, estimator in estimators.items():
