@@ -48,8 +48,9 @@ TARGET_RECALL = 0.99999
 CROWD = 64
 BLOCK_SHINGLES = 300_000
 LEAST_WEIGHT = 400  # a document counts as this many shingles at least: bounds a block's rows
-BATCH_BYTES = 16 << 20
-MOST_WORDS = 400_000
+# What bounds a Python worker's memory: bytes of text taken at once, and words remembered.
+BATCH_BYTES = 2 << 20
+MOST_WORDS = 100_000
 COLUMNS = 2048
 PAIR_ROWS = 64
 

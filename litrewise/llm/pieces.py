@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litrewise.llm.common import small_batches
+from litrewise.llm.common import slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -40,10 +40,12 @@ SPACE = "▁"
 SHARPNESS = 1.0
 SEED = 20_011
 BATCH_BYTES = 1 << 20
-# How many distinct units, and characters in them, a Python worker remembers between batches
+# How many distinct units, and characters in them, a task remembers between batches
 # (300 bytes a unit, 50 a character or so).
-MOST_UNITS = 120_000
-MOST_PLACES = 2_000_000
+MOST_UNITS = 40_000
+MOST_PLACES = 400_000
+# How many characters of new units are filtered at once (some 400 bytes each while it lasts).
+FILTER_PLACES = 1 << 16
 # How far from a unit's start (in sampling: from its end) all units are taken together.
 TOGETHER = 4000
 WINDOW = 1 << 16
@@ -238,15 +240,16 @@ class Lattices:
         new = list(self.known)[self.filtered :]
         if not new:
             return
-        more = Lattice(new, self.vocabulary)
         places, arcs = len(self.group) - 1, len(self.start)
-        join = np.concatenate
-        self.first = join([self.first, more.first + places])
-        self.lengths = join([self.lengths, more.lengths])
-        self.group = join([self.group[:-1], (more.group + arcs).astype(np.int32)])
-        self.start = join([self.start, (more.start + places).astype(np.int32)])
-        self.piece = join([self.piece, more.piece.astype(np.int32)])
-        self.upto = join([self.upto, more.upto.astype(np.float32)])
+        found = [(self.first, self.lengths, self.group[:-1], self.start, self.piece, self.upto)]
+        for a, b in slices(np.fromiter(map(len, new), dtype=np.int64, count=len(new)), FILTER_PLACES):
+            more = Lattice(new[a:b], self.vocabulary)
+            group, start = (more.group + arcs).astype(np.int32), (more.start + places).astype(np.int32)
+            piece, upto = more.piece.astype(np.int32), more.upto.astype(np.float32)
+            found.append((more.first + places, more.lengths, group[:-1], start, piece, upto))
+            places, arcs = places + len(group) - 1, arcs + len(start)
+        self.first, self.lengths, self.group, self.start, self.piece, self.upto = map(np.concatenate, zip(*found))
+        self.group = np.append(self.group, np.int32(arcs))
         self.filtered = len(self.known)
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -279,16 +282,6 @@ class Lattices:
         return np.array(taken, dtype=np.int64)
 
 
-_kept: list[Lattices] = []
-
-
-def worker_lattices(vocabulary: Vocabulary) -> Lattices:
-    """The lattices that earlier tasks of this Python worker made for the same vocabulary."""
-    if not _kept or _kept[0].vocabulary is not vocabulary:
-        _kept[:] = [Lattices(vocabulary)]
-    return _kept[0]
-
-
 def sample(texts: list[str], keys: list[int | None], lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
     """Sampled ids of all texts, one after the other, and the offsets of each text's ids."""
     if len(lattices.known) > MOST_UNITS or len(lattices.group) > MOST_PLACES:
@@ -391,7 +384,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, key: str = "doc_i
     documents = documents.select(*[c for c in documents.columns if c not in added])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = worker_lattices(shared.value)
+        lattices = Lattices(shared.value)
         pieces = shared.value.pieces
         for batch in small_batches(batches, "text", BATCH_BYTES):
             texts = batch.column("text").to_pylist()

@@ -41,7 +41,12 @@ TERMS = 1 << 12
 FEATURES = TRIGRAMS + MEASURES + TERMS
 # What the words of a text weigh beside its trigrams.
 TERM_SHARE = 0.5
-MOST_WORDS = 400_000
+# What bounds a Python worker's memory while it scores: words remembered, bytes of text taken at
+# once, and texts whose cosines with the whole sample are held (SCORE_ROWS * 4000 numbers).
+MOST_WORDS = 100_000
+BATCH_BYTES = 2 << 20
+SCORE_ROWS = 64
+# Rows of a block in fitting; its sums, and so the model, depend on it.
 BLOCK_ROWS = 512
 
 # Units of the whole numbers: features, projection, and vectors of length 1. The largest sums are
@@ -190,7 +195,7 @@ def feature_rows(documents: DataFrame) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = TermNumbers()
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             found = [features(t, terms) for t in batch.column("text").to_pylist()]
             packed = [[np.ascontiguousarray(x).astype("<u2").tobytes() for x in part] for part in zip(*found)]
             yield pa.RecordBatch.from_arrays(
@@ -223,7 +228,7 @@ SCORE_SCHEMA = "doc_id long, score double"
 
 
 def _scores(model: Model, texts: list[str | None], terms: TermNumbers) -> np.ndarray:
-    parts = [texts[i : i + BLOCK_ROWS] for i in range(0, len(texts), BLOCK_ROWS)]
+    parts = [texts[i : i + SCORE_ROWS] for i in range(0, len(texts), SCORE_ROWS)]
     return np.concatenate([model.scores([features(t, terms) for t in part]) for part in parts])
 
 
@@ -233,7 +238,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = TermNumbers()
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             values = _scores(shared.value, batch.column("text").to_pylist(), terms)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(values, pa.float64())], names=["doc_id", "score"]
@@ -249,7 +254,7 @@ def keep_good(documents: DataFrame, model: Model) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = TermNumbers()
-        for batch in small_batches(batches, "text", 16 << 20):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             values = _scores(shared.value, batch.column("text").to_pylist(), terms)
             yield batch.filter(pa.array(values >= 0.5))
 

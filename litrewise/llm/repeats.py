@@ -42,7 +42,9 @@ from litrewise.placement import settle
 
 LENGTH = 100
 ROUTE_BYTES = 32
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20  # of text that is taken for compression at once
+SENT_BYTES = 16 << 20  # of runs that a task remembers having sent
 INDEX_BYTES = 1 << 19
 NAME_BYTES = 32 << 20
 MOST_WINDOWS = 4096  # of a run; longer ones are cut
@@ -173,7 +175,7 @@ def window_runs(keyed: DataFrame, length: int) -> DataFrame:
         router = Router(length)
         for batch in small_batches(batches, "text", BATCH_BYTES):
             batch = first_copies(batch)
-            found = [router.runs(t.encode()) for t in batch.column("text").to_pylist()]
+            found = [router.runs(t.as_py().encode()) for t in batch.column("text")]
             sizes = np.array([len(f[0]) for f in found])
             if not sizes.sum():
                 continue
@@ -240,7 +242,7 @@ def compressed(keyed: DataFrame, carry: bool) -> DataFrame:
         import zstandard
 
         press = zstandard.ZstdCompressor(level=3)
-        for batch in small_batches(batches, "text", BATCH_BYTES):
+        for batch in small_batches(batches, "text", TEXT_BYTES):
             blobs = pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
             rest = [batch.column("row")] if carry else []
             names = ["doc", "tie", "blob"] + ["row"] * carry
@@ -303,7 +305,7 @@ def run_texts(texts: DataFrame, runs: DataFrame, copies: DataFrame, length: int)
             if len(rows) >= ASK_ROWS:
                 yield _batch(_ASKS, *map(list, zip(*rows)))
                 rows = []
-            if held > 64 << 20:
+            if held > SENT_BYTES:
                 sent, held = {}, 0
         if rows:
             yield _batch(_ASKS, *map(list, zip(*rows)))
@@ -577,7 +579,7 @@ def _finish(keyed: DataFrame, length: int, with_text: bool, **bounds: int) -> Da
                 rows += group.column("row").slice(i, 1).chunks
                 groups.append((first, text, spans))
                 held += len(text)
-            if held >= BATCH_BYTES // 2 or len(groups) >= 5000:
+            if held >= TEXT_BYTES or len(groups) >= 5000:
                 yield _result(rows, groups, with_text)
                 groups, rows, held = [], [], 0
         if groups:

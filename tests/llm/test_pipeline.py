@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from litrewise.llm import forest, mixing, pieces, quality, queries
+from litrewise.llm import forest, mixing, pieces, quality, queries, repeats
 from litrewise.llm.common import table
 from tests.llm import helpers
 
@@ -116,3 +119,66 @@ def test_stages_take_odd_and_no_rows(spark, tmp_path, odd, empty):
             columns, docs = docs.columns, corpus_pipeline.settle(stage(spark, docs, str(tmp_path)))
             assert name == "pieces" or docs.columns == columns
         assert docs.filter("not lossless").count() == 0
+
+
+def large_model():
+    """A quality model of its full size, of random numbers."""
+    rng = np.random.default_rng(3)
+    n = 2 * quality.SAMPLE_PER_LABEL
+    projection = np.rint(rng.standard_normal((quality.FEATURES, quality.DIMENSIONS)) * quality.PROJECTION_UNIT)
+    vectors = np.rint(rng.standard_normal((n, quality.DIMENSIONS)) * (quality.VECTOR_UNIT // 8))
+    return quality.Model(projection, vectors, np.arange(n) % 2.0)
+
+
+# With the MB that each may allocate at a time.
+WORKER_STEPS = {
+    "quality": (25, lambda docs: quality.keep_good(docs, large_model())),
+    "signatures": (12, lambda docs: forest.signed(docs, 4)),
+    "blobs": (12, lambda docs: forest._blobs(docs)),
+    "runs": (45, lambda docs: repeats.window_runs(repeats._keyed(docs), 100)),
+    "compressed": (12, lambda docs: repeats.compressed(repeats._keyed(docs), carry=False)),
+    "pieces": (45, lambda docs: pieces.encode_documents(docs, check=True)),
+}
+
+
+@pytest.mark.parametrize("step", WORKER_STEPS)
+def test_worker_holds_little_beside_a_batch(spark, monkeypatch, step):
+    """What a Python worker allocates beside an Arrow batch of 12 MB or more, Arrow's own memory not counted."""
+    rng = random.Random(8)
+    parts = [" ".join(helpers.words(rng, 40)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(parts, k=8)) for _ in range(8000)]
+    assert sum(map(len, texts)) > 12 << 20
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    captured = []
+    with monkeypatch.context() as patch:
+        patch.setattr(type(docs), "mapInArrow", lambda self, f, schema: captured.append(f))
+        most, build = WORKER_STEPS[step]
+        build(docs)
+    numbers = np.arange(len(texts))
+    columns = {"doc_id": numbers, "id": numbers, "doc": numbers, "tie": numbers, "text": texts}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+    del texts
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in captured[-1](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 0 or step == "quality"
+    assert peak < most * 1e6, f"{peak / 1e6:.0f} MB"
+
+
+def test_worker_keeps_no_lattices_after_a_task(spark):
+    docs = spark.createDataFrame([(i, " ".join(helpers.words(random.Random(i), 50))) for i in range(40)], "doc_id long, text string")
+    assert pieces.encode_documents(docs.repartition(2)).filter("n_pieces > 0").count() == 40
+
+    def living(batches):
+        import gc
+
+        for _ in batches:
+            gc.collect()
+            n = sum(isinstance(x, pieces.Lattices) for x in gc.get_objects())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    left = spark.range(0, 64, 1, 32).mapInArrow(living, "n long").groupBy().max("n").first()[0]
+    assert left == 0
