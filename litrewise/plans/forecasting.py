@@ -22,6 +22,7 @@ from litrewise.operators.history import (
 from litrewise.operators.metrics import evaluate_side_by_side
 from litrewise.operators.reports import station_series, with_department
 from litrewise.plans.history import MAX_SERIES_ROWS, series_sizes, with_history
+from litrewise.plans.trees import Forest
 from litrewise.sources.stages import write_stage
 
 
@@ -115,7 +116,7 @@ def linear_regression(label: str = "prix") -> LinearRegression:
 def random_forest(
     label: str = "prix", *, trees: int = FOREST_TREES, depth: int = FOREST_DEPTH, seed: int = SEED
 ) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    return Forest(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
 
 
 def boosted_trees(label: str = "prix", *, iterations: int = BOOSTING_ROUNDS, depth: int = 5, seed: int = SEED) -> GBTRegressor:
