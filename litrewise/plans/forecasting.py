@@ -22,7 +22,7 @@ from litrewise.operators.history import (
 from litrewise.operators.metrics import evaluate_side_by_side
 from litrewise.operators.reports import station_series, with_department
 from litrewise.plans.history import MAX_SERIES_ROWS, series_sizes, with_history
-from litrewise.plans.trees import Forest
+from litrewise.plans.trees import BoostedTrees, Forest
 from litrewise.sources.stages import write_stage
 
 
@@ -120,7 +120,7 @@ def random_forest(
 
 
 def boosted_trees(label: str = "prix", *, iterations: int = BOOSTING_ROUNDS, depth: int = 5, seed: int = SEED) -> GBTRegressor:
-    return GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, seed=seed)
+    return BoostedTrees(labelCol=label, maxIter=iterations, maxDepth=depth, seed=seed)
 
 
 def fit(train: DataFrame, estimator: Estimator, feature_cols: Sequence[str]) -> PipelineModel:
